@@ -1,0 +1,99 @@
+"""Token ids of whole texts by way of their distinct space-separated pieces.
+
+For tokenizers that lower-case, drop white space and never put letters or digits into one
+pre-token with punctuation, a text's ids are those of its pieces, one after the other; the ids of
+a word with punctuation behind it are those of the word and of the punctuation. Each worker keeps
+the ids of pieces it has met in one flat array: a batch of texts is a lookup per piece and a
+gather. The cache has a size bound and starts anew beyond it.
+"""
+
+from __future__ import annotations
+
+import string
+from collections.abc import Callable
+from itertools import chain
+
+import numpy as np
+
+MOST_PIECES = 600_000
+
+
+class PieceCache:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        """encode: distinct pieces -> their ids, flat, and the number of ids of each."""
+        self.encode = encode
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict[str, int] = {"": 0}
+        self.start, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.flat = np.zeros(0, np.int32)
+        self.used = 0
+
+    def _put(self, pieces: list[str], flat: np.ndarray, count: np.ndarray) -> None:
+        at, n = len(self.index), len(pieces)
+        self.index.update(zip(pieces, range(at, at + n), strict=True))
+        if at + n > len(self.start):
+            room = np.zeros(2 * (at + n) - len(self.start), np.int64)
+            self.start, self.count = np.concatenate([self.start, room]), np.concatenate([self.count, room])
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(flat), np.int32)])
+        self.start[at : at + n] = self.used + np.cumsum(count) - count
+        self.count[at : at + n] = count
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known pieces, flat, and the offsets of each piece."""
+        lens = self.count[at]
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        return self.flat[np.repeat(self.start[at] - ends[:-1], lens) + np.arange(ends[-1])], ends
+
+    def _learn(self, new: list[str]) -> None:
+        """Pieces that are a plain word before punctuation, or in capitals, are made of simpler ones."""
+        parts: list[tuple[str, tuple[str, ...]]] = []
+        plain: dict[str, None] = {}
+        for p in new:
+            word = p.rstrip(string.punctuation)
+            low = word.lower()
+            if low.isalnum() and word.isalnum() and max(word) < "ɐ":  # no special token, no contraction, simple lower case
+                made = (low, p[len(word) :]) if len(word) < len(p) else (low,)
+                if made != (p,):
+                    parts.append((p, made))
+                    plain.update(dict.fromkeys(made))
+                    continue
+            plain[p] = None
+        unknown = [p for p in plain if p not in self.index]
+        if unknown:
+            self._put(unknown, *self.encode(unknown))
+        parts = [x for x in parts if x[0] not in self.index]
+        if parts:
+            n = np.array([len(m) for _, m in parts])
+            flat, ends = self.gather(np.array([self.index[w] for _, m in parts for w in m]))
+            self._put([p for p, _ in parts], flat, np.diff(ends[np.concatenate([[0], np.cumsum(n)])]))
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, flat, and n + 1 offsets."""
+        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        found = list(map(self.index.get, chain.from_iterable(pieces)))
+        try:
+            at = np.array(found, np.int64)
+        except TypeError:  # None: pieces not met before
+            if len(self.index) > MOST_PIECES:
+                self._clear()
+            self._learn(list(set().union(*pieces).difference(self.index)))
+            at = np.array(list(map(self.index.__getitem__, chain.from_iterable(pieces))), np.int64)
+        out, ends = self.gather(at)
+        return out, ends[np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)]
+
+
+def text_runs(texts: list[str], size: int = 1 << 20):
+    """(first, texts) of runs of whole texts of about `size` characters."""
+    i = 0
+    while i < len(texts):
+        j, n = i, 0
+        while j < len(texts) and (j == i or n + len(texts[j]) <= size):
+            n += len(texts[j])
+            j += 1
+        yield i, texts[i:j]
+        i = j
