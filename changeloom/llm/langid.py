@@ -83,7 +83,8 @@ class ByteConvNet:
         return np.concatenate(out) if out else np.zeros((0, len(self.languages)), np.float32)
 
     def fit(self, w: np.ndarray, y: np.ndarray, epochs: int = 5, batch: int = 64, seed: int = 5) -> None:
-        """Adam on the cross-entropy; the gradient of a maximum goes to its place alone."""
+        """Adam on the cross-entropy, at least about 300 steps; the gradient of a maximum goes to its place alone."""
+        epochs = max(epochs, min(100, 300 * batch // max(1, len(w))))
         rng, params = np.random.default_rng(seed), self.params()
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for epoch in range(epochs):
@@ -107,7 +108,7 @@ class ByteConvNet:
                         grads[1 + j][k] = np.einsum("nfe,nf->ef", e, g)
                         np.add.at(grads[0], b.ravel(), (g[:, :, None] * f[k].T[None]).reshape(-1, EMBED))
                 t += 1
-                step = 0.004 * 0.6**epoch
+                step = 0.004 * 0.6 ** (5 * epoch / epochs)
                 for q, g, a, c in zip(params, grads, m, v, strict=True):
                     a += 0.1 * (g - a)
                     c += 0.001 * (g * g - c)
