@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokencache import PieceCache, text_runs
+from .piececache import PieceCache
+from .textbytes import arrow_texts, chunks
 
 LONG_WORD = 2048  #: symbols; longer words are merged with a heap, one by one
+RUN_BYTES = 1 << 20  #: of text that are encoded together
 _NONE = np.iinfo(np.int32).max
 #: White space of the Split pattern (Unicode's White_Space property).
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -202,7 +204,7 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, flat, and n + 1 offsets."""
-        return self.cache.ids(texts)
+        return self.cache.ids(*arrow_texts(pa.array(texts, pa.string())))
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """UTF-8 of each text's tokens, joined by a space."""
@@ -234,12 +236,11 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str] | None = None) ->
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in it:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            for i, part in text_runs(texts):
-                ids, offs = bpe.encode(part)
+            for i, part, po in chunks(*arrow_texts(batch.column("__text")), RUN_BYTES):
+                ids, offs = bpe.cache.ids(part, po)
                 decoded = bpe.decode(ids, offs)
                 lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids))
-                cols = [batch.column(c).slice(i, len(part)) for c in keep]
+                cols = [batch.column(c).slice(i, len(po) - 1) for c in keep]
                 yield pa.RecordBatch.from_arrays([*cols, lists, pa.array(decoded, pa.binary()).cast(pa.string())], [*keep, "ids", "decoded"])
 
     return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, kind)

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .huffman import Codec, code_lengths
+from .piececache import PieceCache
 from .storage import Workspace
-from .tokencache import PieceCache, text_runs
+from .textbytes import arrow_texts, chunks
 
 BLOCK_TOKENS = 1 << 16
 _RAW = "shard int, block long, ahead long, doc_ids binary, n_tokens binary, ids binary, total long"
@@ -85,16 +86,15 @@ def _tokenise(path: str, end_id: int | None):
             return pa.RecordBatch.from_arrays(row, ["shard", "block", "ahead", "doc_ids", "n_tokens", "ids", "total"])
 
         for batch in it:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             ids_of = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, part in text_runs(texts):
-                ids, offs = cache.ids(part)
+            for i, part, po in chunks(*arrow_texts(batch.column("text"))):
+                ids, offs = cache.ids(part, po)
                 n = np.diff(offs)
                 if end_id is not None:
-                    out = np.full(len(ids) + len(part), end_id, np.int32)
-                    out[np.arange(len(ids)) + np.repeat(np.arange(len(part)), n)] = ids
+                    out = np.full(len(ids) + len(n), end_id, np.int32)
+                    out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
                     ids, n = out, n + 1
-                docs.append(ids_of[i : i + len(part)])
+                docs.append(ids_of[i : i + len(n)])
                 counts.append(n)
                 held.append(ids)
                 total += len(ids)
