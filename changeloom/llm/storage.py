@@ -13,6 +13,15 @@ def shared_folder(spark: SparkSession) -> str:
     return (known or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
+ARROW_BATCH_BYTES = 4 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold about ARROW_BATCH_BYTES: texts differ much in length, so rows are no bound of a worker's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    return df
+
+
 class Workspace:
     """Tables of one operator call, as Parquet in the shared folder.
 
