@@ -77,7 +77,45 @@ def queries() -> dict:
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _template_rows() -> str:
+    return ", ".join("({}, '{}', '{}')".format(k, *(x.replace("'", "''") for x in t)) for k, t in enumerate(licenses.TEMPLATES))
+
+
 SQL = {
+    "op1_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS g
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, sym.b FROM reach r JOIN sym ON sym.a = r.other),
+        least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM least LEFT JOIN n USING (doc_id)""",
+    "op3_license_scan": f"""
+        WITH t AS (SELECT k, license, regexp_extract_all(lower(words), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM (VALUES {_template_rows()}) v(k, license, words)),
+        tn AS (SELECT k, license, w, CAST(greatest(4, pow(2, ceil(log2(len(w))))) AS BIGINT) AS size FROM t),
+        tg AS (SELECT DISTINCT k, size, license, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS i FROM tn)),
+        tc AS (SELECT k, count(*) AS n FROM tg GROUP BY k),
+        d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        dg AS (SELECT doc_id, i - 1 AS p, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
+        hit AS (SELECT doc_id, k, license, p // size AS b, g FROM dg JOIN tg USING (g)),
+        win AS (SELECT doc_id, k, license, b, g FROM hit UNION ALL SELECT doc_id, k, license, b - 1, g FROM hit WHERE b > 0),
+        share AS (SELECT doc_id, license, count(DISTINCT g) / n AS share FROM win JOIN tc USING (k) GROUP BY doc_id, k, license, b, n),
+        good AS (SELECT doc_id, list_sort(list_distinct(list(license))) AS l, max(share) AS m FROM share WHERE share >= {licenses.LEAST} GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_licenses, coalesce(array_to_string(l, ','), '') AS licenses, coalesce(m, 0.0) AS containment
+        FROM d LEFT JOIN good USING (doc_id)""",
+    # for pages of plain articles, as the sample tables have them
+    "op4_html_extraction": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS x FROM pages),
+        b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(?:p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+        c AS (SELECT page_id, url, replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM b),
+        t AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM c)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t""",
     "op6_benchmark_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
