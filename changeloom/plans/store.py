@@ -233,6 +233,22 @@ class Store:
         rows = [(f.segment_id, f.level, bytearray(f.min_key), bytearray(f.max_key), f.path, f.n_records, f.bytes) for f in self.current().files]
         return self.spark.createDataFrame(rows, "segment_id long, level int, min_key binary, max_key binary, file_path string, n_records long, bytes long")
 
+    def memtable_size(self) -> int:
+        """Distinct keys in unflushed commits."""
+        version = self.current()
+        return self.log(replace(version, files=tuple(f for f in version.files if f.level == TAIL))).select("key").distinct().count()
+
+    def sparse_index(self, segment_id: int, every: int = 16) -> DataFrame:
+        """(segment_id, key, offset) of every `every`-th record of one file; without rows for an unknown one. Computed from the rows, so it can't be damaged or go stale."""
+        version = self.current()
+        own = self.log(replace(version, files=tuple(f for f in version.files if f.segment_id == segment_id)))
+        return run_ops.sparse_index(own.withColumn("segment_id", F.lit(segment_id).cast("long")), every)
+
+    def show(self, n: int = 20) -> None:
+        """Prints the first versions of unflushed commits."""
+        version = self.current()
+        self.log(replace(version, files=tuple(f for f in version.files if f.level == TAIL))).orderBy("seq", "key").show(n)
+
     # --- writing
 
     def put(self, key: bytes, value: bytes) -> None:

@@ -243,3 +243,42 @@ def test_stream_into_store(spark, root, tmp_path):
     run()
     assert state(s) == {"b": "1"}
     assert s.write(rows(spark, [("z", "again")]), batch=("events", 0)) == s.last_seq() and "z" not in state(s)
+
+
+def test_http(spark, root):
+    import urllib.error
+    import urllib.request
+
+    from changeloom.plans.http import server
+
+    s = Store(spark, root, QUIET)
+    web = server(s, port=0)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{web.server_address[1]}"
+
+    def call(path, data=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + path, data, method="PUT" if data is not None else "GET")) as r:
+                return r.status, r.read()
+        except urllib.error.HTTPError as e:
+            return e.code, b""
+
+    assert call("/put?key=a%20b", b"1") == (200, b"") and call("/get?key=a%20b") == (200, b"1")
+    assert call("/get?key=none")[0] == 404 and call("/get")[0] == 400 and call("/put?key=", b"x")[0] == 400
+    assert call("/put?key=__TOMBSTONE__", b"x")[0] == 500 and call("/other?key=a")[0] == 404
+    web.shutdown()
+
+
+def test_memtable_and_index(spark, root, capsys):
+    s = Store(spark, root, QUIET)
+    s.write(rows(spark, [(f"key{i}", f"value{i}") for i in range(1, 6)]), parts=1)
+    s.put(b"key1", b"again")
+    assert s.memtable_size() == 5
+    s.show()
+    assert "is_delete" in capsys.readouterr().out
+    s.flush()
+    assert s.memtable_size() == 0
+    (one,) = s.current().files
+    assert [r.offset for r in s.sparse_index(one.segment_id, every=2).orderBy("key").collect()] == [0, 43, 87]
+    assert s.sparse_index(12345).collect() == []
+    assert s.next_segment_id() == 4
