@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import class_counts, pick, remainder
+from .storage import bound_batches, release_memory
 from .textbytes import arrow_texts
 
 WINDOW = 256
@@ -137,7 +138,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> ByteConvN
     Trained on about `per_language` documents of each language, chosen by a hash of doc_id, with up to
     WINDOWS_EACH windows spread over each text. None if no row can be learned from.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = rows.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (remainder(F.col("doc_id"), 5) != 0))
     counts = class_counts(docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang")).where(remainder(F.col("doc_id"), 5) != 0), "lang")
 
@@ -158,6 +159,8 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> ByteConvN
     x = [np.frombuffer(b.as_buffer(), np.uint8).reshape(-1, WINDOW) for b in got.column("windows")]
     net = ByteConvNet(names)
     net.fit(np.concatenate(x), np.repeat([names.index(v) for v in langs], [len(k) for k in x]))
+    del got, x
+    release_memory()
     return net
 
 
@@ -181,7 +184,7 @@ def identify(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
             pred = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), letters.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(np.where(letters, p, 0.0))], ["doc_id", "lang_pred", "score"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 

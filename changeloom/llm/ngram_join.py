@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import Workspace
+from .storage import Workspace, bound_batches, release_memory
 from .textbytes import arrow_texts, mix, set_id, shingle_sets
 
 TABLE_TOKENS = 1 << 20
@@ -299,7 +299,7 @@ def ngram_components(docs: DataFrame, width: int = 5, numerator: int = 4, denomi
     if numerator * 5 < denominator * 4:
         raise ValueError("similarities under 0.8 are not supported")
     work = Workspace(spark, "ngram-join")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     sizes = work.write(texts.mapInArrow(_sizes(width), "doc_id long, n long, sid long"), "sizes")
     # a set's node is the least doc_id that has it
@@ -326,7 +326,10 @@ def order_table(spark: SparkSession, work: Workspace, texts: DataFrame, total: i
     tokens, df = got.column("token").to_numpy().view(np.uint64), got.column("df").to_numpy()
     by = np.argsort(tokens)
     work.drop("often")
-    return tokens[by].copy(), np.array([int(x).bit_length() for x in df[by].tolist()], np.int8)
+    table = tokens[by].copy(), np.frexp(df[by].astype(np.float64))[1].astype(np.int8)
+    del got, tokens, df
+    release_memory()
+    return table
 
 
 def _links(spark: SparkSession, work: Workspace, texts: DataFrame, nodes: DataFrame, total: int, width: int, num: int, den: int) -> DataFrame:

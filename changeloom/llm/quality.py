@@ -12,6 +12,7 @@ the row times the difference of the two output vectors.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import class_counts, pick, remainder
+from .storage import bound_batches, release_memory
 from .textbytes import SPACE, arrow_texts, chunks, span_hashes, word_spans
 
 BITS = 18
 DIM = 8
-SAMPLE_PER_CLASS = 2500  #: labelled rows of each class to train on
-EPOCHS = 6
+SAMPLE_PER_CLASS = 1500  #: labelled rows of each class to train on
+EPOCHS = 8
 _KINDS = np.zeros(256, np.uint8)  # 0 other, 1 upper, 2 lower or non-ASCII, 3 digit
 _KINDS[0x41:0x5B], _KINDS[0x61:0x7B], _KINDS[0x80:], _KINDS[0x30:0x3A] = 1, 2, 2, 3
 
@@ -70,7 +72,7 @@ def features(part: np.ndarray, po: np.ndarray) -> Iterator[tuple[np.ndarray, np.
 
 
 def _sparse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct table rows and their shares of each text."""
+    """Distinct table rows and their counts in each text."""
     for batch in it:
         data, offs = arrow_texts(batch.column("text"))
         ids, shares = [], []
@@ -79,8 +81,8 @@ def _sparse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d in range(len(po) - 1):
                 rows, n = np.unique(np.concatenate([r[o[d] : o[d + 1]] for r, o in groups]), return_counts=True)
                 ids.append(rows.astype(np.int32).tobytes())
-                shares.append((n / max(1, n.sum())).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["label", "ids", "shares"])
+                shares.append(np.minimum(65535, n).astype(np.uint16).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["label", "ids", "counts"])
 
 
 class QualityModel:
@@ -101,7 +103,7 @@ class QualityModel:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit(labels: np.ndarray, ids: list[np.ndarray], shares: list[np.ndarray], prior: float, seed: int = 11) -> QualityModel:
+def fit(labels: np.ndarray, ids: list[np.ndarray], times: list[np.ndarray], prior: float, seed: int = 11) -> QualityModel:
     """Embedding table and softmax layer by Adagrad steps over batches of 32 texts; prior: the share of label 1 in all labelled rows."""
     rng = np.random.default_rng(seed)
     table = (rng.random((1 << BITS, DIM), np.float32) - 0.5) / DIM
@@ -115,7 +117,7 @@ def fit(labels: np.ndarray, ids: list[np.ndarray], shares: list[np.ndarray], pri
             n = np.array([len(ids[k]) for k in batch])
             if not n.sum():
                 continue
-            rows, w = np.concatenate([ids[k] for k in batch]), np.concatenate([shares[k] for k in batch])
+            rows, w = np.concatenate([ids[k] for k in batch]), np.concatenate([times[k] / max(1, times[k].sum(dtype=np.int64)) for k in batch]).astype(np.float32)
             doc = np.repeat(np.arange(len(batch)), n)
             full = np.flatnonzero(n)
             vec = np.zeros((len(batch), DIM), np.float32)
@@ -152,16 +154,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     known = known.groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.max("quality").cast("int").alias("label"))
     counts = class_counts(known, "label")
     sample = pick(known, "label", counts, per_class, "of")
-    texts = docs.select(F.col("doc_id").cast("long").alias("of"), F.col("text").cast("string").alias("text")).where("text is not null")
-    got = texts.join(F.broadcast(sample), "of").select("label", "text").mapInArrow(_sparse, "label int, ids binary, shares binary").toArrow()
+    texts = bound_batches(docs).select(F.col("doc_id").cast("long").alias("of"), F.col("text").cast("string").alias("text")).where("text is not null")
+    got = texts.join(F.broadcast(sample), "of").select("label", "text").mapInArrow(_sparse, "label int, ids binary, counts binary").toArrow()
     y = got.column("label").to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return QualityModel(np.zeros(1 << BITS), 0.0)
     ids = [np.frombuffer(b.as_buffer(), np.int32) for b in got.column("ids")]
-    shares = [np.frombuffer(b.as_buffer(), np.float32) for b in got.column("shares")]
+    times = [np.frombuffer(b.as_buffer(), np.uint16) for b in got.column("counts")]
     # arrival order must not matter
-    key = sorted(range(len(y)), key=lambda k: (int(y[k]), ids[k].tobytes()))
-    return fit(y[key], [ids[k] for k in key], [shares[k] for k in key], counts.get(1, 0) / sum(counts.values()))
+    key = sorted(range(len(y)), key=lambda k: (int(y[k]), crc32(ids[k]), len(ids[k])))
+    model = fit(y[key], [ids[k] for k in key], [times[k] for k in key], counts.get(1, 0) / sum(counts.values()))
+    del got, ids, times
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -174,7 +179,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
             s = held.value.score(*arrow_texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "__score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+    return bound_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
 
 
 THRESHOLD = 0.7

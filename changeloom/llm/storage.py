@@ -22,6 +22,16 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release_memory() -> None:
+    """Gives what Arrow and numpy no longer use on the driver back to the system."""
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+
+
 class Workspace:
     """Tables of one operator call, as Parquet in the shared folder.
 
