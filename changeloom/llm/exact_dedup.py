@@ -2,7 +2,9 @@
 
 All steps are DataFrame aggregates with map-side combine, so a group of any size is a running
 (count, max) in each task and one small row per task in the shuffle. Full content is hashed only
-for rows whose (length, prefix hash) occurs more than once.
+for rows whose (length, prefix hash) occurs more than once. Rows get back what their group came to
+by joins: lists of keys within a checked size, and the largest groups, are broadcast; the rest is
+joined by a shuffle in which no key has HOT_ROWS rows or more.
 """
 
 from __future__ import annotations
@@ -13,42 +15,65 @@ from pyspark.sql import functions as F
 from .storage import Workspace
 
 PREFIX_CHARS = 64
-#: Up to so many surviving (length, prefix hash) pairs are broadcast (16 bytes each); beyond, rows are joined by a shuffle.
-BROADCAST_KEYS = 500_000
+HOT_ROWS = 1000
+#: Up to so many keys (at most 64 bytes each) are broadcast; longer lists are joined by a shuffle.
+BROADCAST_KEYS = 250_000
 
 
 def _size_and_prefix(text: Column) -> list[Column]:
     return [F.octet_length(text).alias("size"), F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("prefix")]
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id long, keep_id long, group_size long, kept boolean), a row for each row of docs.
+def _small(keys: DataFrame) -> DataFrame:
+    """keys (a written table), to be broadcast if its size allows it."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
-    Texts are equal when identical byte for byte; null counts as empty. Of equal texts the largest
-    doc_id stays. doc_id is taken as unique and not null. Other columns are ignored.
-    """
+
+def _join_groups(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+    """rows with the columns of their group (groups has group_size); groups of many rows are broadcast, so they never meet in one task."""
+    hot = HOT_ROWS
+    while groups.where(F.col("group_size") >= hot).count() > BROADCAST_KEYS:
+        hot *= 10
+    large, rest = F.broadcast(groups.where(F.col("group_size") >= hot)), groups.where(F.col("group_size") < hot)
+    return rows.join(large, on).unionByName(rows.join(F.broadcast(groups.where(F.col("group_size") >= hot).select(*on)), on, "left_anti").join(rest, on))
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, prefix, keep_id, group_size), a row for each row of docs."""
     work = Workspace(docs.sparkSession, "exact-dedup")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     # lengths that occur once are settled; then prefix hashes
     cheap = work.write(rows.select("doc_id", *_size_and_prefix(F.col("text"))), "cheap")
-    sizes = cheap.groupBy("size").agg(F.count("*").alias("c")).where("c > 1").select("size")
-    pairs = cheap.join(sizes, "size", "left_semi").groupBy("size", "prefix").agg(F.count("*").alias("c")).where("c > 1").select("size", "prefix")
+    sizes = work.write(cheap.groupBy("size").agg(F.count("*").alias("c")).where("c > 1").select("size"), "sizes")
+    pairs = cheap.join(_small(sizes), "size", "left_semi").groupBy("size", "prefix").agg(F.count("*").alias("c")).where("c > 1").select("size", "prefix")
     pairs = work.write(pairs, "pairs")
-    n = pairs.count()
     # full content of the survivors only
     keyed = rows.select("doc_id", *_size_and_prefix(F.col("text")), "text")
-    survivors = keyed.join(F.broadcast(pairs) if n <= BROADCAST_KEYS else pairs, ["size", "prefix"], "left_semi")
-    full = work.write(survivors.select("doc_id", F.unhex(F.sha2("text", 256)).alias("full"), "size"), "full")
-    groups = full.groupBy("full", "size").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    # only rows of groups are joined; the large side of a hot group is split by AQE
-    grouped = full.join(groups, ["full", "size"]).select(F.col("doc_id").alias("member"), "keep_id", "group_size")
-    out = cheap.select("doc_id").join(grouped, F.col("doc_id") == F.col("member"), "left")
-    keep = F.coalesce("keep_id", "doc_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (keep == F.col("doc_id")).alias("kept"))
+    survivors = keyed.join(_small(pairs), ["size", "prefix"], "left_semi")
+    full = work.write(survivors.select("doc_id", "size", "prefix", F.unhex(F.sha2("text", 256)).alias("full")), "full")
+    groups = work.write(full.groupBy("full", "size").agg(F.max("doc_id").alias("keep_id"), F.count("*").cast("long").alias("group_size")), "groups")
+    alone = cheap.join(_small(pairs), ["size", "prefix"], "left_anti").select("doc_id", "size", "prefix", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    return alone.unionByName(_join_groups(full, groups, ["full", "size"]).select(*alone.columns))
+
+
+def exact_duplicates(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) -> (doc_id long, keep_id long, group_size long, kept boolean), a row for each row of docs.
+
+    Texts are equal when identical byte for byte; null counts as empty. Of equal texts the largest
+    doc_id stays; rows that repeat it with the same text are all marked as kept. A row without doc_id
+    is never kept if its text has another row with one, and has a null in kept if not. Other columns are
+    ignored.
+    """
+    return _grouped(docs).select("doc_id", "keep_id", "group_size", F.when(F.col("keep_id").isNotNull(), F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"))
 
 
 def exact_duplicate_filter(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text another row with a larger doc_id has too; all columns are kept."""
-    gone = exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs without the rows whose text another row with a larger doc_id has too; all columns are kept.
+
+    Rows without doc_id stay. Rows that repeat the doc_id and the text of a kept row stay too: they are
+    the same document given again.
+    """
+    gone = _grouped(docs).where(F.col("doc_id") < F.col("keep_id")).select(F.col("doc_id").alias("__gone"), F.col("size").alias("__size"), F.col("prefix").alias("__prefix"))
+    size, prefix = _size_and_prefix(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (size == gone["__size"]) & (prefix == gone["__prefix"]), "left_anti")
