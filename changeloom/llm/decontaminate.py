@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import bound_batches
 from .textbytes import LOWER, NON_ALNUM, arrow_texts, chunks, span_hashes, word_spans
 
 WINDOW = 8
@@ -118,8 +119,9 @@ class Benchmark:
     """The automaton, the vocabulary (word hash -> id) and the item names."""
 
     def __init__(self, rows: list[tuple[str, str | None]], window: int = WINDOW):
-        rows = sorted(rows, key=lambda r: r[0])
-        self.names = [r[0] for r in rows]
+        rows = sorted(rows, key=lambda r: (r[0], r[1] or ""))
+        self.names = sorted({r[0] for r in rows})
+        number = {n: k for k, n in enumerate(self.names)}
         texts = pa.array([r[1] for r in rows], pa.string())
         data, offs = arrow_texts(texts)
         low = LOWER[data]
@@ -127,7 +129,7 @@ class Benchmark:
         self.vocabulary, ids = np.unique(span_hashes(low, starts, ends), return_inverse=True)
         cuts = [(int(a), int(b)) for a, b in zip(first[:-1], first[1:], strict=True)]
         self.shortest = min([min(window, b - a) for a, b in cuts if b > a], default=window)
-        self.automaton = SuffixAutomaton(((k, ids[a:b].tolist()) for k, (a, b) in enumerate(cuts)), window)
+        self.automaton = SuffixAutomaton(((number[r[0]], ids[a:b].tolist()) for r, (a, b) in zip(rows, cuts, strict=True)), window)
 
     def matches(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, set[int], list[tuple[int, int]], int, int]]:
         """For each text: words, items found, hit spans in bytes, hit words, longest match in words."""
@@ -170,8 +172,8 @@ class Benchmark:
 
 
 def load_benchmark(items: DataFrame, window: int = WINDOW) -> Benchmark:
-    """items (item_id, text, ...) of at most MAX_ITEM_WORDS words; null texts have no words."""
-    rows = items.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
+    """items (item_id, text, ...) of at most MAX_ITEM_WORDS words; null texts have no words, rows that repeat an item_id are one item, one without item_id is named ''."""
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     if size > 8 * MAX_ITEM_WORDS:
         raise ValueError(f"benchmark of {size} characters is too large for one automaton")
@@ -201,7 +203,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW)
             cols = [batch.column("doc_id"), *(pa.array([o[k] for o in out], schema.field(k + 1).type) for k in range(5))]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_items: int = 1, coverage: float = 0.5, most_words: int | None = None) -> DataFrame:
@@ -238,4 +240,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
                 cols.append(col)
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bound_batches(docs).mapInArrow(run, docs.schema)

@@ -292,8 +292,9 @@ def ngram_components(docs: DataFrame, width: int = 5, numerator: int = 4, denomi
     Documents whose sets of `width`-word shingles have Jaccard similarity of at least
     numerator / denominator are linked; component_id is the least doc_id reachable by links, the own
     one included. Texts that are null, empty or without words have an empty set and no links; equal
-    sets are linked whatever their number; fewer words than `width` make one shingle. doc_id is taken
-    as unique and not null. Other columns of docs are ignored, whatever their names.
+    sets are linked whatever their number; fewer words than `width` make one shingle. Rows that repeat a
+    doc_id are the same document; a row without doc_id links nothing and gets the component of its set,
+    null if no other row has that set. Other columns of docs are ignored, whatever their names.
     """
     spark = docs.sparkSession
     if numerator * 5 < denominator * 4:
@@ -303,7 +304,7 @@ def ngram_components(docs: DataFrame, width: int = 5, numerator: int = 4, denomi
 
     sizes = work.write(texts.mapInArrow(_sizes(width), "doc_id long, n long, sid long"), "sizes")
     # a set's node is the least doc_id that has it
-    nodes = work.write(sizes.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "nodes")
+    nodes = work.write(sizes.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     links = _links(spark, work, texts, nodes, total, width, numerator, denominator)
     parts = connected_components(links, work, "parts")
@@ -381,6 +382,6 @@ def _links(spark: SparkSession, work: Workspace, texts: DataFrame, nodes: DataFr
 
 
 def near_duplicate_filter(docs: DataFrame, width: int = 5, numerator: int = 4, denominator: int = 5) -> DataFrame:
-    """docs without all but one document (the least doc_id) of each component; all columns are kept."""
-    kept = ngram_components(docs, width, numerator, denominator).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    """docs without all but one document (the least doc_id) of each component; all columns are kept. Rows without doc_id stay."""
+    gone = ngram_components(docs, width, numerator, denominator).where("doc_id > component_id").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from .huffman import Codec, code_lengths
 from .piececache import PieceCache
-from .storage import Workspace
+from .storage import Workspace, bound_batches
 from .textbytes import arrow_texts, chunks
 
 BLOCK_TOKENS = 1 << 16
+NO_ID = -(1 << 63)  #: stands for a missing doc_id, which comes first
 _RAW = "shard int, block long, ahead long, doc_ids binary, n_tokens binary, ids binary, total long"
 _loaded: dict[str, PieceCache] = {}
 
@@ -125,13 +126,13 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
     """docs (doc_id, text, ...) to a token file set in `folder`.
 
     Texts are encoded whole by the tokenizer `path` without special tokens; null counts as empty;
-    `end_id` is appended to each document. doc_id is taken as unique and not null. Other columns are
-    ignored; an empty table gives a set without blocks.
+    `end_id` is appended to each document. Rows without doc_id come first; rows that repeat a doc_id are
+    all written, in any order. Other columns are ignored; an empty table gives a set without blocks.
     """
     work = work or Workspace(docs.sparkSession, "token-files")
     # as many ranges as input splits: a shard is a task's share of the texts
     parts = max(1, docs.select("doc_id").rdd.getNumPartitions())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bound_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     raw = work.write(ordered.mapInArrow(_tokenise(path, end_id), _RAW), "raw")
     counted = raw.select("ids", "total").mapInArrow(_counts, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()  # at most as many rows as the vocabulary has ids
@@ -185,4 +186,5 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 lists = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(start), pa.array(n), lists], ["doc_id", "start", "n_tokens", "ids"])
 
-    return spark.read.parquet(f"{folder}/blocks").mapInArrow(run, "doc_id long, start long, n_tokens int, ids binary")
+    rows = spark.read.parquet(f"{folder}/blocks").mapInArrow(run, "doc_id long, start long, n_tokens int, ids binary")
+    return rows.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

@@ -89,3 +89,10 @@ def test_empty_tables(spark):
     assert d.find_contamination(docs, items).collect() == []
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert d.find_contamination(one, items).first().n_hit == 0
+
+
+def test_repeated_and_unnamed_items(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h"), (1, "i j k l m n o p"), (None, "q r s t u v w x")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p q r s t u v w x")], "doc_id long, text string")
+    row = d.find_contamination(docs, items).first()
+    assert row.item_ids == ["", "1"] and row.n_hit == 24

@@ -62,3 +62,12 @@ def test_sample_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df).collect()}
     assert got == components(rows)
+
+
+def test_repeated_and_missing_ids(spark):
+    a, b = "a b c d e f g", "h i j k l m n"
+    rows = [(1, a), (1, a), (None, a), (None, b), (None, None), (2, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df).collect()), key=str)
+    assert got == sorted([(1, 3, 1), (1, 3, 1), (0, 3, 1), (0, 3, None), (0, 0, None), (2, 3, 1)], key=str)
+    assert sorted((r.doc_id or 0) for r in ngram_join.near_duplicate_filter(df).collect()) == [0, 0, 0, 1, 1]

@@ -89,5 +89,8 @@ def test_files(spark, tmp_path, monkeypatch):
         raw = np.array(ids, "<u4").tobytes()
         assert (got[k].start, got[k].n_tokens, zlib.crc32(bytes(got[k].ids))) == (start, len(ids), zlib.crc32(raw))
         start += len(ids)
+    odd = spark.createDataFrame([(None, "b"), (5, "a"), (5, "a"), (None, None)], "doc_id long, text string")
+    token_files.write_token_files(odd, str(tmp_path / "o"), PATH)
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in token_files.read_token_files(spark, str(tmp_path / "o")).collect()) == [(0, 1), (0, 2), (5, 2), (5, 2)]
     token_files.write_token_files(df.limit(0), str(tmp_path / "e"), PATH)
     assert token_files.read_token_files(spark, str(tmp_path / "e")).collect() == []

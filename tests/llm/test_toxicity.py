@@ -40,13 +40,13 @@ def test_chain_uses_out_of_fold_predictions():
     fold = np.arange(len(s)) % toxicity.FOLDS
     chain = toxicity.fit_chain(s, np.stack([first, toxic], 1), fold)
     assert len(chain.models) == 2 and chain.models[1].extra.shape == (1,)
-    own = np.zeros((len(s), 1))
+    own, none = np.zeros((len(s), 1)), np.zeros((len(s), 0))
+    table = toxicity.Table(s)
     for f in range(toxicity.FOLDS):
-        keep = [i for i in range(len(s)) if fold[i] != f]
-        m = toxicity._fit_one([s[i] for i in keep], np.zeros((len(keep), 0)), first[keep].astype(float))
+        m = table.fit(none, first.astype(float), fold != f)
         for i in np.flatnonzero(fold == f):
-            own[i, 0] = m.raw(toxicity._present([s[i]], m.words), np.zeros((1, 0)))[0]
-    again = toxicity._fit_one(s, own, toxic.astype(float))
+            own[i, 0] = toxicity.Chain([m]).predict([s[i]])[0, 0]
+    again = table.fit(own, toxic.astype(float), np.ones(len(s), bool))
     assert np.allclose(again.weights, chain.models[1].weights) and np.allclose(again.extra, chain.models[1].extra)
 
 
