@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import class_counts, pick, remainder
-from .storage import bound_batches
+from .storage import bound_batches, release_memory
 from .textbytes import LOWER, NON_ALNUM, arrow_texts, chunks, mix, span_hashes, word_spans
 
 FOLDS = 5
@@ -61,33 +61,59 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(present @ self.weights + more @ self.extra + self.bias, -50, 50)))
 
 
-def _present(sets: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-    return np.stack([np.isin(words, s) for s in sets]).astype(np.float64) if sets else np.zeros((0, len(words)))
-
-
-def _fit_one(sets: list[np.ndarray], more: np.ndarray, y: np.ndarray) -> Linear:
-    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
-    words, at = np.unique(flat, return_inverse=True)
-    label = np.repeat(y, [len(s) for s in sets])
-    n1, n0 = max(1, y.sum()), max(1, len(y) - y.sum())
-    c1, c0 = np.bincount(at, label, len(words)), np.bincount(at, 1 - label, len(words))
-    both = (c1 + c0) / (n1 + n0)
-    z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n1 + 1 / n0))
-    ratio = (c1 / n1 + 1e-6) / (c0 / n0 + 1e-6)
-    good = np.flatnonzero((np.abs(z) >= LEAST_Z) & (np.maximum(ratio, 1 / ratio) >= LEAST_RATIO))
-    good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:MOST_WORDS]])
-    x = np.hstack([_present(sets, words[good]), more, np.ones((len(y), 1))])
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], 1.0)
-    penalty[-1] = 1e-6
-    for _ in range(15):  # Newton's method with a ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, x.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    k = len(good)
-    return Linear(words[good], w[:k], w[k:-1], float(w[-1]))
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All features of all texts, and the text of each."""
+    return np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+
+def _present(flat: np.ndarray, text: np.ndarray, n: int, words: np.ndarray) -> np.ndarray:
+    """(texts, words) of 0 and 1; words are sorted."""
+    out = np.zeros((n, len(words)))
+    if len(words) and len(flat):
+        at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+        hit = words[at] == flat
+        out[text[hit], at[hit]] = 1
+    return out
+
+
+class Table:
+    """The features of the training texts, looked up once for all models of a chain."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        flat, text = _flat(sets)
+        words, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+        often = count > 2
+        keep = often[at]
+        self.words, self.text = words[often], text[keep]
+        self.at = (np.cumsum(often) - 1)[at[keep]]
+        self.flat = flat[keep]
+
+    def fit(self, more: np.ndarray, y: np.ndarray, rows: np.ndarray) -> Linear:
+        """A model from the texts in the mask `rows`."""
+        mine = rows[self.text]
+        at, label = self.at[mine], y[self.text[mine]]
+        n1, n0 = max(1, y[rows].sum()), max(1, (1 - y[rows]).sum())
+        c1, c0 = np.bincount(at, label, len(self.words)), np.bincount(at, 1 - label, len(self.words))
+        both = (c1 + c0) / (n1 + n0)
+        z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n1 + 1 / n0))
+        ratio = (c1 / n1 + 1e-6) / (c0 / n0 + 1e-6)
+        good = np.flatnonzero((np.abs(z) >= LEAST_Z) & (np.maximum(ratio, 1 / ratio) >= LEAST_RATIO))
+        good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:MOST_WORDS]])
+        words = self.words[good]
+        x = np.hstack([_present(self.flat, self.text, self.n, words), more, np.ones((self.n, 1))])[rows]
+        w, penalty, goal = np.zeros(x.shape[1]), np.full(x.shape[1], 1.0), y[rows]
+        penalty[-1] = 1e-6
+        x = x.astype(np.float32)
+        for _ in range(8):  # Newton's method with a ridge
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+            h = (x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x + np.diag(penalty)
+            step = np.linalg.solve(h, x.T @ (goal - p) - penalty * w)
+            w += step
+            if np.abs(step).max() < 1e-3:
+                break
+        k = len(words)
+        return Linear(words, w[:k], w[k:-1], float(w[-1]))
 
 
 class Chain:
@@ -97,24 +123,24 @@ class Chain:
     def predict(self, sets: list[np.ndarray]) -> np.ndarray:
         """Probabilities (texts, categories)."""
         out = np.zeros((len(sets), len(self.models)))
+        flat, text = _flat(sets)
         for k, m in enumerate(self.models):
-            out[:, k] = m.raw(_present(sets, m.words), out[:, :k])
+            out[:, k] = m.raw(_present(flat, text, len(sets), m.words), out[:, :k])
         return out
 
 
 def fit_chain(sets: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> Chain:
     """labels (texts, categories) of 0 and 1; fold: each text's fold."""
+    table, every = Table(sets), np.ones(len(sets), bool)
     models, earlier = [], np.zeros((len(sets), labels.shape[1]))
     for k in range(labels.shape[1]):
         y, more = labels[:, k].astype(float), earlier[:, :k]
-        models.append(_fit_one(sets, more, y))
-        for f in range(FOLDS):
-            inside = fold == f
-            if inside.any() and (~inside).any():
-                keep = np.flatnonzero(~inside)
-                m = _fit_one([sets[i] for i in keep], more[keep], y[keep])
-                own = np.flatnonzero(inside)
-                earlier[own, k] = m.raw(_present([sets[i] for i in own], m.words), more[own])
+        models.append(table.fit(more, y, every))
+        for f in range(FOLDS if k + 1 < labels.shape[1] else 0):
+            own = fold == f
+            if own.any() and not own.all():
+                m = table.fit(more, y, ~own)
+                earlier[own, k] = m.raw(_present(table.flat, table.text, table.n, m.words), more)[own]
     return Chain(models)
 
 
@@ -139,7 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     from zlib import crc32
 
     fold = np.array([crc32(b"fold" + str(d).encode()) % FOLDS for d in got.column("of").to_pylist()])
-    return fit_chain(sets, np.stack([*kinds, toxic], 1), fold)
+    chain = fit_chain(sets, np.stack([*kinds, toxic], 1), fold)
+    del got, sets
+    release_memory()
+    return chain
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
