@@ -215,6 +215,19 @@ class Store:
         """A cursor in key order that fetches one partition at a time."""
         return ((bytes(r.key), bytes(r.value)) for r in self.scan(low, high).toLocalIterator())
 
+    def visit(self, low: bytes | None, high: bytes | None, fn: Callable[[bytes, bytes], None]) -> int:
+        """Calls fn(key, value) on the driver for each present key of [low, high), in order; returns how many there were."""
+        n = 0
+        for key, value in self.iterator(low, high):
+            fn(key, value)
+            n += 1
+        return n
+
+    def seek(self, target: bytes) -> tuple[bytes, bytes] | None:
+        """The first present key >= target, with its value."""
+        found = state_ops.lower_bound(self.log(low=target), target).collect()
+        return (bytes(found[0].key), bytes(found[0].value)) if found else None
+
     def get(self, key: bytes, version: Version | None = None) -> bytes | None:
         found = state_ops.current_state(self.log(version, key, key + b"\0")).collect()
         return bytes(found[0].value) if found else None
@@ -421,6 +434,11 @@ class Store:
 
         return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
+    def clear(self) -> None:
+        """An empty state under the next version; versions go on."""
+        with self._writer() as version:
+            self._publish(replace(version, number=version.number + 1, files=()))
+
     def close(self) -> None:
         self._closed = True
 

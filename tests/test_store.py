@@ -282,3 +282,30 @@ def test_memtable_and_index(spark, root, capsys):
     assert [r.offset for r in s.sparse_index(one.segment_id, every=2).orderBy("key").collect()] == [0, 43, 87]
     assert s.sparse_index(12345).collect() == []
     assert s.next_segment_id() == 4
+
+
+def test_visit_seek_clear(spark, root):
+    s = Store(spark, root, QUIET)
+    s.write(rows(spark, [(c, c.upper()) for c in "abcd"]))
+    s.delete(b"b")
+    seen = []
+    assert s.visit(b"a", b"d", lambda k, v: seen.append((k, v))) == 2 and seen == [(b"a", b"A"), (b"c", b"C")]
+    assert s.seek(b"b") == (b"c", b"C") and s.seek(b"e") is None
+    s.clear()
+    assert state(s) == {} and s.last_seq() == 2
+    s.put(b"a", b"again")
+    assert state(s) == {"a": "again"}
+
+
+@pytest.mark.parametrize("flush_bytes", [1 << 10, 1 << 14, 1 << 20])
+def test_batches_over_flush_sizes(spark, root, flush_bytes):
+    """A thousand keys put, deleted and put again, at several flush sizes, with a reopening between."""
+    opts = Options(flush_keys=None, flush_bytes=flush_bytes, l0_runs=2)
+    keys = [f"key-{i}" for i in range(1024)]
+    s = Store(spark, root, opts)
+    s.write(rows(spark, [(k, "value") for k in keys]))
+    s.write(rows(spark, [(k, None) for k in keys]))
+    s = Store(spark, root, opts)
+    assert state(s) == {} and s.get(b"key-7") is None
+    s.write(rows(spark, [(k, f"again-{k}") for k in keys]))
+    assert state(Store(spark, root, opts)) == {k: f"again-{k}" for k in keys} and s.last_seq() == 3
