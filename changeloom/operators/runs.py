@@ -143,4 +143,4 @@ def new_layout(old: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
 
 def serving_run(runs: DataFrame) -> DataFrame:
     """(key, segment_id, is_delete): the run whose version of each key answers a lookup."""
-    return newest(runs).select("key", "segment_id", "is_delete")
+    return newest(runs.select("key", "segment_id", "is_delete", "seq")).select("key", "segment_id", "is_delete")

@@ -16,9 +16,18 @@ from pyspark.sql import functions as F
 
 
 def newest(log: DataFrame, *keys: str, order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """The newest version of each key, deletions included. The row limit of the window runs before the shuffle too, so a hot key sends one row per task."""
-    w = Window.partitionBy(*(keys or ("key",))).orderBy(*(F.col(c).desc() for c in order))
-    return log.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """The newest version of each key, deletions included; `order` is not null and differs between a key's versions.
+
+    An aggregate, combined before the shuffle: each task sends one row per key, a hot key too. (A
+    window sorts by key and version instead of by key alone and takes about twice as long; a hash
+    aggregate of versions joined back has to shuffle the whole log.) Select the needed columns first:
+    the aggregate carries all it is given.
+    """
+    keys = keys or ("key",)
+    rest = [c for c in log.columns if c not in keys]
+    version = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    best = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("__top"))
+    return best.select(*(F.col(c) if c in keys else F.col(f"__top.{c}").alias(c) for c in log.columns))
 
 
 def drop_deleted(rows: DataFrame) -> DataFrame:
@@ -88,6 +97,5 @@ def overlay(state: DataFrame, buffer: DataFrame) -> DataFrame:
 
 def merge_runs(runs: DataFrame, keep_deleted: bool = False) -> DataFrame:
     """Newest-wins merge of runs (source_priority 0 = newest, key, value, is_delete)."""
-    w = Window.partitionBy("key").orderBy("source_priority")
-    out = runs.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    out = newest(runs.withColumn("__age", -F.col("source_priority")), order=("__age",)).drop("__age")
     return out if keep_deleted else drop_deleted(out)
