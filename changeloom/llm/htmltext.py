@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bound_batches
+
 #: Elements whose content is not shown as text, up to their end tag.
 DROPPED = {"script", "style", "noscript", "template", "svg", "math", "textarea", "select", "button", "iframe", "object", "canvas", "audio", "video", "title", "datalist", "option", "xmp", "noembed", "noframes"}
 #: Elements that begin and end a block.
@@ -38,6 +40,7 @@ MARKS = re.compile(
 )
 #: The same for page headers, which are titles inside an article.
 HEADER_MARKS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
@@ -172,7 +175,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, bool, bool, bool]]:
                 # a paragraph or item that is marked stands alone until the next block
             if not closing:
                 attrs = {a[0].lower(): " ".join(a[1:]) for a in _ATTR.findall(m[3])} if m[3].strip() else {}
-                names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+                names = _CAMEL.sub("-", f"{attrs.get('class', '')} {attrs.get('id', '')}")
                 marked = bool(attrs) and (bool(MARKS.search(names)) or not inside and bool(HEADER_MARKS.search(names)) or attrs.get("role", "").strip() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog") or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", ""))
                 if name in ("p", "li"):
                     if marked:
@@ -242,4 +245,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", labelled: list[tuple] = L
                 texts = model.texts(part.column("html").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("url"), pa.array(texts, pa.string())], [id_col, "url", "text"])
 
-    return pages.select(id_col, "url", F.col("html").cast("string").alias("html")).mapInArrow(run, kind)
+    return bound_batches(pages).select(id_col, "url", F.col("html").cast("string").alias("html")).mapInArrow(run, kind)

@@ -23,6 +23,7 @@ CASES = [
     ("<main><p>a&nbsp; \n b&#x41;&eacute;&bogus;</p><!-- <p>no</p> --><div class='ad-box'>buy</div><p class=share-bar>share it</p><p>c</p></main>", "a bAé&bogus; c"),
     ("<nav>menu<article><p>unclosed menu <i>before", "unclosed menu before"),
     ("<article><p>kept</p><section id='comments'><article class='comment'><p>not kept</p></article></section><p>end</p></article>", "kept end"),
+    ("<article><p>kept</p><div id=userComments><p>not kept</p></div><div class='sideBar cookieNotice'>no</div><p>end</p></article>", "kept end"),
     ("<ARTICLE><H1>Upper</H1><P>case <STYLE>p{}</STYLE>tags</ARTICLE>", "Upper case tags"),
     ("<article><p>1 < 2 and <a href='x>y'>a link</a> here</p></article>", "1 < 2 and a link here"),
     ("", ""),
