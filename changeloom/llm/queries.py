@@ -113,7 +113,7 @@ SQL = {
     "op4_html_extraction": r"""
         WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS x FROM pages),
         b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(?:p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a),
-        c AS (SELECT page_id, url, replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM b),
+        c AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS x FROM b),
         t AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM c)
         SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t""",
     "op6_benchmark_decontamination": f"""
