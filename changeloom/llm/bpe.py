@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .piececache import PieceCache
+from .storage import bound_batches
 from .textbytes import arrow_texts, chunks
 
 LONG_WORD = 2048  #: symbols; longer words are merged with a heap, one by one
@@ -243,4 +244,4 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str] | None = None) ->
                 cols = [batch.column(c).slice(i, len(po) - 1) for c in keep]
                 yield pa.RecordBatch.from_arrays([*cols, lists, pa.array(decoded, pa.binary()).cast(pa.string())], [*keep, "ids", "decoded"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, kind)
+    return bound_batches(docs).select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, kind)

@@ -12,27 +12,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Workspace
+from . import storage
+from .storage import Workspace, broadcast_if_small
 
 PREFIX_CHARS = 64
 HOT_ROWS = 1000
-#: Up to so many keys (at most 64 bytes each) are broadcast; longer lists are joined by a shuffle.
-BROADCAST_KEYS = 250_000
 
 
 def _size_and_prefix(text: Column) -> list[Column]:
     return [F.octet_length(text).alias("size"), F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("prefix")]
 
 
-def _small(keys: DataFrame) -> DataFrame:
-    """keys (a written table), to be broadcast if its size allows it."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-
 def _join_groups(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
     """rows with the columns of their group (groups has group_size); groups of many rows are broadcast, so they never meet in one task."""
     hot = HOT_ROWS
-    while groups.where(F.col("group_size") >= hot).count() > BROADCAST_KEYS:
+    while groups.where(F.col("group_size") >= hot).count() > storage.BROADCAST_KEYS:
         hot *= 10
     large, rest = F.broadcast(groups.where(F.col("group_size") >= hot)), groups.where(F.col("group_size") < hot)
     return rows.join(large, on).unionByName(rows.join(F.broadcast(groups.where(F.col("group_size") >= hot).select(*on)), on, "left_anti").join(rest, on))
@@ -46,14 +40,14 @@ def _grouped(docs: DataFrame) -> DataFrame:
     # lengths that occur once are settled; then prefix hashes
     cheap = work.write(rows.select("doc_id", *_size_and_prefix(F.col("text"))), "cheap")
     sizes = work.write(cheap.groupBy("size").agg(F.count("*").alias("c")).where("c > 1").select("size"), "sizes")
-    pairs = cheap.join(_small(sizes), "size", "left_semi").groupBy("size", "prefix").agg(F.count("*").alias("c")).where("c > 1").select("size", "prefix")
+    pairs = cheap.join(broadcast_if_small(sizes), "size", "left_semi").groupBy("size", "prefix").agg(F.count("*").alias("c")).where("c > 1").select("size", "prefix")
     pairs = work.write(pairs, "pairs")
     # full content of the survivors only
     keyed = rows.select("doc_id", *_size_and_prefix(F.col("text")), "text")
-    survivors = keyed.join(_small(pairs), ["size", "prefix"], "left_semi")
+    survivors = keyed.join(broadcast_if_small(pairs), ["size", "prefix"], "left_semi")
     full = work.write(survivors.select("doc_id", "size", "prefix", F.unhex(F.sha2("text", 256)).alias("full")), "full")
     groups = work.write(full.groupBy("full", "size").agg(F.max("doc_id").alias("keep_id"), F.count("*").cast("long").alias("group_size")), "groups")
-    alone = cheap.join(_small(pairs), ["size", "prefix"], "left_anti").select("doc_id", "size", "prefix", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    alone = cheap.join(broadcast_if_small(pairs), ["size", "prefix"], "left_anti").select("doc_id", "size", "prefix", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return alone.unionByName(_join_groups(full, groups, ["full", "size"]).select(*alone.columns))
 
 
@@ -76,4 +70,5 @@ def exact_duplicate_filter(docs: DataFrame) -> DataFrame:
     """
     gone = _grouped(docs).where(F.col("doc_id") < F.col("keep_id")).select(F.col("doc_id").alias("__gone"), F.col("size").alias("__size"), F.col("prefix").alias("__prefix"))
     size, prefix = _size_and_prefix(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    gone = broadcast_if_small(Workspace(docs.sparkSession, "exact-gone").write(gone, "gone"))
     return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (size == gone["__size"]) & (prefix == gone["__prefix"]), "left_anti")

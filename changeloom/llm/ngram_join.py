@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import Workspace, bound_batches, release_memory
+from .storage import Workspace, bound_batches, broadcast_if_small, release_memory
 from .textbytes import arrow_texts, mix, set_id, shingle_sets
 
 TABLE_TOKENS = 1 << 20
@@ -384,4 +384,5 @@ def _links(spark: SparkSession, work: Workspace, texts: DataFrame, nodes: DataFr
 def near_duplicate_filter(docs: DataFrame, width: int = 5, numerator: int = 4, denominator: int = 5) -> DataFrame:
     """docs without all but one document (the least doc_id) of each component; all columns are kept. Rows without doc_id stay."""
     gone = ngram_components(docs, width, numerator, denominator).where("doc_id > component_id").select(F.col("doc_id").alias("__gone"))
+    gone = broadcast_if_small(Workspace(docs.sparkSession, "ngram-gone").write(gone, "gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

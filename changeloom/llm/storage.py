@@ -22,8 +22,19 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Up to so many keys (at most 64 bytes each) are broadcast; longer lists are joined by a shuffle.
+BROADCAST_KEYS = 250_000
+
+
+def broadcast_if_small(keys: DataFrame, most: int | None = None) -> DataFrame:
+    """keys (a written table), to be broadcast if there are few enough."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(keys) if keys.count() <= (BROADCAST_KEYS if most is None else most) else keys
+
+
 def release_memory() -> None:
-    """Gives what Arrow and numpy no longer use on the driver back to the system."""
+    """Gives what Arrow, numpy and Python no longer use back to the system."""
     import gc
 
     import pyarrow
@@ -36,7 +47,7 @@ class Workspace:
     """Tables of one operator call, as Parquet in the shared folder.
 
     Each write cuts the lineage: a lost executor costs at most the tasks of one step. Tables that
-    later steps no longer need can be dropped early to free disk; the rest goes with `clear`.
+    later steps no longer need are dropped early to free disk; results may be read from the rest, so it stays until the folder is emptied.
     """
 
     def __init__(self, spark: SparkSession, name: str):

@@ -1,4 +1,4 @@
-from changeloom.llm import exact_dedup
+from changeloom.llm import exact_dedup, storage
 
 
 def test_groups_nulls_and_prefixes(spark, monkeypatch):
@@ -10,7 +10,7 @@ def test_groups_nulls_and_prefixes(spark, monkeypatch):
         same = [e for e, u in rows if (u or "") == (t or "")]
         want[d] = (max(same), len(same), d == max(same))
     for most, hot in ((250_000, 1000), (0, 1000), (250_000, 3)):
-        monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", most)
+        monkeypatch.setattr(storage, "BROADCAST_KEYS", most)
         monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot)
         got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(df).collect()}
         assert got == want
