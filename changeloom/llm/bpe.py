@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .piececache import PieceCache
-from .storage import bound_batches
+from .storage import bound_batches, tidy
 from .textbytes import arrow_texts, chunks
 
 LONG_WORD = 2048  #: symbols; longer words are merged with a heap, one by one
+CACHED_PIECES = 400_000
 RUN_BYTES = 1 << 20  #: of text that are encoded together
 _NONE = np.iinfo(np.int32).max
 #: White space of the Split pattern (Unicode's White_Space property).
@@ -91,7 +92,7 @@ class WordBpe:
         self.words = _word_pattern(splits[0])
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
-        self.cache = PieceCache(self._pieces)
+        self.cache = PieceCache(self._pieces, CACHED_PIECES)
 
     # --- words
 
@@ -244,4 +245,4 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str] | None = None) ->
                 cols = [batch.column(c).slice(i, len(po) - 1) for c in keep]
                 yield pa.RecordBatch.from_arrays([*cols, lists, pa.array(decoded, pa.binary()).cast(pa.string())], [*keep, "ids", "decoded"])
 
-    return bound_batches(docs).select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, kind)
+    return bound_batches(docs).select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(tidy(run), kind)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import bound_batches
+from .storage import bound_batches, tidy
 from .textbytes import LOWER, NON_ALNUM, arrow_texts, chunks, span_hashes, word_spans
 
 WINDOW = 8
@@ -240,4 +240,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
                 cols.append(col)
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
 
-    return bound_batches(docs).mapInArrow(run, docs.schema)
+    return bound_batches(docs).mapInArrow(tidy(run), docs.schema)

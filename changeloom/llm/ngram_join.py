@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import Workspace, bound_batches, broadcast_if_small, release_memory
+from .storage import Workspace, bound_batches, broadcast_if_small, release_memory, tidy
 from .textbytes import arrow_texts, mix, set_id, shingle_sets
 
 TABLE_TOKENS = 1 << 20
@@ -302,7 +302,7 @@ def ngram_components(docs: DataFrame, width: int = 5, numerator: int = 4, denomi
     work = Workspace(spark, "ngram-join")
     texts = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    sizes = work.write(texts.mapInArrow(_sizes(width), "doc_id long, n long, sid long"), "sizes")
+    sizes = work.write(texts.mapInArrow(tidy(_sizes(width)), "doc_id long, n long, sid long"), "sizes")
     # a set's node is the least doc_id that has it
     nodes = work.write(sizes.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
@@ -315,7 +315,7 @@ def ngram_components(docs: DataFrame, width: int = 5, numerator: int = 4, denomi
 def order_table(spark: SparkSession, work: Workspace, texts: DataFrame, total: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens (sorted hashes) with the bit length of the number of sets they are in: as many classes as fit TABLE_TOKENS."""
     buckets = _power_of_two(total / BUCKET_TOKENS)
-    pieces = texts.mapInArrow(_count_pieces(width, buckets), "bucket int, tokens binary, counts binary, wide boolean")
+    pieces = texts.mapInArrow(tidy(_count_pieces(width, buckets)), "bucket int, tokens binary, counts binary, wide boolean")
     often = work.write(pieces.groupBy("bucket").applyInArrow(_count_merge, "token long, df long"), "often")
     by_df = often.groupBy(F.ceil(F.log2(F.col("df"))).cast("int").alias("k")).agg(F.count("*").alias("c")).collect()  # at most 63 rows
     room, least = TABLE_TOKENS, 64
@@ -337,7 +337,7 @@ def _links(spark: SparkSession, work: Workspace, texts: DataFrame, nodes: DataFr
     """Links (a, b) between nodes that connect every component."""
     table = spark.sparkContext.broadcast(order_table(spark, work, texts, total, width))
     buckets = _power_of_two(total * 0.3 / BUCKET_TOKENS)
-    index = work.write(texts.mapInArrow(_index_pieces(width, buckets, table, num, den), "bucket int, keys binary, sids binary"), "index")
+    index = work.write(texts.mapInArrow(tidy(_index_pieces(width, buckets, table, num, den)), "bucket int, keys binary, sids binary"), "index")
     singles = work.write(index.where("bucket >= 0").groupBy("bucket").applyInArrow(_index_merge, "key long, a long, b long"), "singles")
     combos = index.where("bucket < 0").select("keys", "sids").mapInArrow(_unpack, "key long, sid long").distinct()
     hubs = combos.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
@@ -355,9 +355,9 @@ def _links(spark: SparkSession, work: Workspace, texts: DataFrame, nodes: DataFr
     pairs = work.write(near.union(few).where(fits).select("a", "b").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
     sets = texts.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
-    sets = work.write(sets.mapInArrow(_sets(width), "node long, tokens binary"), "sets")
+    sets = work.write(sets.mapInArrow(tidy(_sets(width)), "node long, tokens binary"), "sets")
     first = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    links = work.write(first.mapInArrow(_verify(num, den), "a long, b long"), "links")
+    links = work.write(first.mapInArrow(tidy(_verify(num, den)), "a long, b long"), "links")
 
     # entries whose sets are still in several components: their clusters, compared in blocks
     parts = connected_components(links, work, "first")

@@ -55,9 +55,9 @@ def piece_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class PieceCache:
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        """encode: distinct pieces -> their ids, flat, and the number of ids of each."""
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = MOST_PIECES):
+        """encode: distinct pieces -> their ids, flat, and the number of ids of each; most: pieces that are kept."""
+        self.encode, self.most = encode, most
         self._clear()
 
     def _clear(self) -> None:
@@ -90,7 +90,7 @@ class PieceCache:
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == keys[inside]
         if not known.all():
-            if len(self.keys) + len(keys) > MOST_PIECES:
+            if len(self.keys) + len(keys) > self.most:
                 self._clear()
                 known[:] = False
             new = ~known

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import class_counts, pick, remainder
-from .storage import bound_batches, release_memory
+from .storage import bound_batches, release_memory, tidy
 from .textbytes import SPACE, arrow_texts, chunks, span_hashes, word_spans
 
 BITS = 18
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
             s = held.value.score(*arrow_texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "__score"])
 
-    return bound_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+    return bound_batches(docs).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
 
 
 THRESHOLD = 0.7
