@@ -2,7 +2,8 @@
 
 A page is cut into a flat list of blocks at block-level tags. Each block has its word count, its link
 density, the same of the blocks before and after it, and where it stands (inside a container that is
-never main text by its tag, class or id; inside an article or main element; a heading). A CART tree,
+never main text by its tag, class or id, or perhaps so by a class or id that may be one of a layout;
+inside an article or main element; a heading). A CART tree,
 trained here on the small labelled table LABELLED, tells main text from the rest. Contents of
 scripts, styles, forms' controls and the head are never blocks.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +34,35 @@ BLOCK = {
 OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "header", "search", "fieldset"}
 #: Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Parts of class names and ids that mark menus, notices, adverts and comments.
+#: Words in class names and ids that mark menus, notices, adverts and comments.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|navs?|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|footers?|cookies?|consent|gdpr|notices?|notifications?|"
-    r"popups?|modals?|overlays?|comments?|commentlist|replies|reply|disqus|discussion|respond|responses|shar(?:e|ing)|socials?|relateds?|recommend(?:ed|ations)?|newsletters?|subscri(?:be|ption)|signup|login|search|pagination|pager|toolbars?|widgets?|tags?|skip|copyright|legal|hidden)(?:$|[\s_-])",
+    r"(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|navs?|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|footers?|cookies?|consent|gdpr|notices?|notifications?|"
+    r"popups?|modals?|overlays?|comments?|commentlist|replies|reply|disqus|discussion|respond|responses|shar(?:e|ing)|socials?|relateds?|recommend(?:ed|ations)?|newsletters?|subscri(?:be|ption)|signup|login|search|pagination|pager|toolbars?|widgets?|tags?|skip|copyright|legal|hidden)",
     re.I,
 )
 #: The same for page headers, which are titles inside an article.
-HEADER_MARKS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
+HEADER_MARKS = re.compile(r"header|masthead|topbar", re.I)
+#: Of them, words that mark nothing for sure beside other words of a name.
+VAGUE = {"tag", "tags", "hidden", "side", "sidebar", "sidebars", "skip", "search", "legal", "discussion", "related", "relateds", "response", "responses"}
+#: Words of names that tell a page's state or layout (no-sidebar, comments-open), anywhere and at the end.
+STATES = {"no", "not", "has", "have", "with", "without", "hide", "show", "overflow"}
+LAST_STATES = {"open", "opened", "closed", "enabled", "disabled", "allowed", "on", "off", "none", "free", "active", "accepted", "loaded", "ready", "sticky", "fixed"}
+#: Words before a topic's name (category-cookies, tag-politics).
+TOPICS = {"category", "cat", "tag", "topic", "term", "type", "format", "status", "author", "template", "keyword"}
+#: Words at the end of names of a marked thing's own parts (ad-box, comments-area).
+PARTS = {
+    "area", "bar", "block", "body", "box", "button", "buttons", "card", "cloud", "container", "form", "frame", "group", "holder", "icons", "inner", "item", "items", "label", "labels", "link", "links",
+    "list", "lists", "meta", "message", "module", "outer", "panel", "pane", "row", "section", "slot", "text", "thread", "title", "unit", "widget", "wrap", "wrapper", "zone",
+}
+#: How much a container is outside main text: not at all, perhaps by its name, by its name, for sure by its tag, role or style.
+FREE, PERHAPS, NAMED, SURE = range(4)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 #: words, link density in %, words and link density before, words and link density after, inside a
-#: container that is never main text, inside article or main (-1: beside it, 0: the page has none),
-#: heading -> main text?
+#: container that is never main text (0.5: perhaps, by its name), inside article or main (-1: beside it,
+#: 0: the page has none), heading -> main text?
 LABELLED = [
     # an article's paragraphs, short and long, with and without links
     (40, 0, 12, 0, 60, 0, 0, 1, 0, 1), (3, 0, 30, 0, 45, 0, 0, 1, 0, 1), (1, 0, 8, 0, 0, 0, 0, 1, 0, 1), (120, 5, 40, 0, 80, 2, 0, 1, 0, 1), (15, 40, 60, 0, 50, 0, 0, 1, 0, 1),
@@ -75,6 +91,16 @@ LABELLED = [
     (3, 100, 2, 100, 4, 100, 0, 0, 0, 0), (20, 90, 5, 100, 6, 100, 0, 0, 0, 0), (4, 0, 2, 100, 3, 100, 0, 0, 0, 0), (2, 0, 5, 0, 3, 0, 0, 0, 0, 0), (8, 80, 60, 0, 5, 100, 0, 0, 0, 0),
     (3, 0, 1, 100, 2, 0, 0, 0, 1, 0), (2, 0, 4, 100, 3, 100, 0, 0, 1, 0), (15, 100, 50, 0, 60, 0, 0, 0, 0, 0), (6, 0, 4, 0, 5, 50, 0, 0, 0, 0), (9, 0, 3, 100, 2, 0, 0, 0, 0, 0),
     (35, 85, 40, 90, 20, 100, 0, 0, 0, 0), (5, 100, 70, 0, 80, 0, 0, 0, 0, 0), (3, 0, 50, 0, 0, 0, 0, 0, 0, 0), (6, 0, 40, 0, 4, 100, 0, 0, 0, 0), (1, 0, 0, 0, 2, 100, 0, 0, 0, 0),
+    # containers with a name that may be one of a layout: text of a page
+    (45, 0, 8, 0, 70, 5, 0.5, 0, 0, 1), (90, 10, 50, 0, 60, 0, 0.5, 0, 0, 1), (30, 0, 4, 0, 35, 0, 0.5, 0, 0, 1), (22, 0, 40, 0, 2, 100, 0.5, 0, 0, 1), (5, 0, 60, 0, 55, 0, 0.5, 0, 0, 1), (40, 0, 0, 0, 0, 0, 0.5, 0, 0, 1),
+    (12, 0, 35, 0, 30, 0, 0.5, 0, 0, 1), (26, 0, 2, 100, 3, 100, 0.5, 0, 0, 1), (6, 0, 3, 100, 50, 0, 0.5, 0, 1, 1), (4, 0, 45, 0, 60, 0, 0.5, 0, 1, 1), (9, 0, 0, 0, 80, 0, 0.5, 0, 1, 1),
+    (40, 0, 30, 0, 45, 0, 0.5, 1, 0, 1), (90, 5, 40, 0, 60, 0, 0.5, 1, 0, 1), (25, 0, 5, 0, 50, 0, 0.5, 1, 0, 1), (5, 0, 60, 0, 55, 0, 0.5, 1, 0, 1), (8, 0, 40, 0, 45, 0, 0.5, 1, 0, 1), (300, 0, 10, 0, 3, 0, 0.5, 1, 0, 1),
+    (4, 0, 60, 0, 70, 0, 0.5, 1, 1, 1), (22, 0, 30, 0, 2, 100, 0.5, 1, 0, 1), (7, 0, 6, 0, 40, 0, 0.5, 1, 1, 1),
+    # and link lists, labels and notices
+    (3, 100, 2, 100, 4, 100, 0.5, 0, 0, 0), (20, 90, 5, 100, 6, 100, 0.5, 0, 0, 0), (4, 0, 2, 100, 3, 100, 0.5, 0, 0, 0), (2, 0, 0, 0, 0, 0, 0.5, 0, 0, 0), (15, 100, 50, 0, 60, 0, 0.5, 0, 0, 0), (5, 100, 70, 0, 80, 0, 0.5, 0, 0, 0),
+    (3, 0, 50, 0, 0, 0, 0.5, 0, 0, 0), (6, 0, 40, 0, 4, 100, 0.5, 0, 0, 0), (35, 85, 40, 90, 20, 100, 0.5, 0, 0, 0), (2, 0, 4, 100, 3, 100, 0.5, 0, 1, 0), (9, 0, 3, 100, 2, 0, 0.5, 0, 0, 0),
+    (3, 0, 60, 0, 2, 100, 0.5, 1, 0, 0), (4, 100, 80, 0, 60, 0, 0.5, 1, 0, 0), (6, 80, 60, 0, 50, 0, 0.5, 1, 0, 0), (12, 90, 40, 0, 30, 0, 0.5, 1, 0, 0), (2, 0, 60, 0, 0, 0, 0.5, 1, 0, 0), (20, 90, 5, 100, 6, 100, 0.5, 1, 0, 0),
+    (40, 0, 12, 0, 60, 0, 0.5, -1, 0, 0), (4, 100, 50, 0, 3, 100, 0.5, -1, 0, 0), (5, 0, 0, 0, 60, 0, 0.5, -1, 1, 0),
 ]
 
 
@@ -120,25 +146,61 @@ class Tree:
         return out
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, never main text, in article or main, heading) of each block with text, in page order."""
+def _name_mark(name: str, marks: re.Pattern) -> int:
+    """FREE, PERHAPS or NAMED, by one class or id."""
+    parts = [p for p in re.split(r"[-_]+", _CAMEL.sub("-", name).lower()) if p]
+    if marks.fullmatch("".join(parts)):
+        return NAMED
+    parts = [p for p in parts if not p[0].isdigit()]  # comment-12
+    found = [p for p in parts if marks.fullmatch(p)]
+    if not found or STATES.intersection(parts) or parts[-1] in LAST_STATES:
+        return FREE
+    vague = VAGUE.issuperset(found)
+    if parts[-1] in PARTS:
+        return PERHAPS if "content" in parts or "main" in parts else NAMED
+    if parts[0] in TOPICS and len(parts) > 1:
+        return FREE
+    return NAMED if not vague and parts[-1] in found else PERHAPS
+
+
+@lru_cache(4096)
+def name_mark(names: str, header: bool) -> int:
+    """How much the classes and ids (apart by white space) tell that a container is outside main text; `header`: page headers count."""
+    each = names.split()
+    level = max([_name_mark(n, MARKS) for n in each if n != "hidden"], default=FREE)
+    if "hidden" in each:  # hidden md:block is shown on larger screens
+        level = max(level, PERHAPS if ":" in names else NAMED)
+    return max(level, max([_name_mark(n, HEADER_MARKS) for n in each], default=FREE)) if header else level
+
+
+def blocks(page: str) -> Iterator[tuple[str, int, int, float, bool, bool]]:
+    """(text, words, words in links, never main text (0, 0.5, 1), in article or main, heading) of each block with text, in page order.
+
+    Names never mark html, body and main, nor an article that is in no other and in no marked container.
+    Where nothing else is left of a page without article, names only tell that a container is perhaps outside.
+    """
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open block elements, and whether they are outside main text
-    inside = 0  # open article and main elements
-    outside = [0]  # open elements outside main text, by article level
-    link = head = 0
+    stack: list[tuple[str, int, bool]] = []  # open block elements, how much they are outside main text, whether they hold it
+    inside = articles = 0  # open article and main elements that hold main text; the articles of them
+    outside = [[0] * 4]  # open elements by how much they are outside main text, by article level
+    link = head = alone = 0
     found: list[tuple] = []
     pos, size = 0, len(page)
 
+    def level() -> int:
+        return max(k for k in range(4) if k == FREE or outside[-1][k])
+
     def flush():
+        nonlocal alone
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 n = text.count(" ") + 1
-                found.append((text, n, min(n, len(html.unescape(" ".join(linked)).split())), outside[-1] > 0, inside > 0, head > 0))
+                found.append((text, n, min(n, len(html.unescape(" ".join(linked)).split())), max(level(), alone), inside > 0, head > 0))
         parts.clear()
         linked.clear()
+        alone = FREE
 
     while pos < size:
         m = _TAG.search(page, pos)
@@ -175,34 +237,40 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, bool, bool, bool]]:
                 # a paragraph or item that is marked stands alone until the next block
             if not closing:
                 attrs = {a[0].lower(): " ".join(a[1:]) for a in _ATTR.findall(m[3])} if m[3].strip() else {}
-                names = _CAMEL.sub("-", f"{attrs.get('class', '')} {attrs.get('id', '')}")
-                marked = bool(attrs) and (bool(MARKS.search(names)) or not inside and bool(HEADER_MARKS.search(names)) or attrs.get("role", "").strip() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog") or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", ""))
+                holds = name in ("html", "body", "main") or name == "article" and not articles and level() < NAMED
+                mark = FREE if holds else name_mark(f"{attrs.get('class', '')} {attrs.get('id', '')}", not inside)
+                if name not in ("html", "body") and (attrs.get("role", "").strip() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog") or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "")):
+                    mark = SURE
                 if name in ("p", "li"):
-                    if marked:
+                    if mark > PERHAPS:
                         stop = re.compile(rf"</{name}\s*>|<(?:{'|'.join(BLOCK)})\b", re.I).search(page, pos)
                         pos = stop.start() if stop else size
+                    alone = mark
                     continue
-                main = name in ("article", "main") and not marked
+                main = name in ("article", "main") and mark < NAMED
                 # the header of an article holds its title
-                out = marked or name in OUTSIDE and not (name == "header" and inside)
-                stack.append((name, out))
+                if name in OUTSIDE and not (name == "header" and inside):
+                    mark = SURE
+                stack.append((name, mark, main))
                 if main:
                     inside += 1
-                    outside.append(0)
-                elif out:
-                    outside[-1] += 1
-            elif any(name == n for n, _ in stack):
+                    articles += name == "article"
+                    outside.append([0] * 4)
+                outside[-1][mark] += 1
+            elif any(name == n for n, _, _ in stack):
                 while stack:
-                    top, out = stack.pop()
-                    if top in ("article", "main") and not out:
+                    top, mark, main = stack.pop()
+                    if main:
                         inside -= 1
+                        articles -= top == "article"
                         outside.pop()
-                    elif out:
-                        outside[-1] -= 1
+                    else:
+                        outside[-1][mark] -= 1
                     if top == name:
                         break
     flush()
-    yield from found
+    named = NAMED if any(b[3] == FREE or b[4] for b in found) else SURE  # names from here on tell it for sure
+    yield from [(*b[:3], 0.0 if b[3] == FREE else 1.0 if b[3] >= named else 0.5, *b[4:]) for b in found]
 
 
 def page_features(found: list[tuple]) -> np.ndarray:

@@ -50,3 +50,26 @@ def test_tree_learns_its_table():
     table = np.array(htmltext.LABELLED, float)
     right = htmltext.Tree(htmltext.LABELLED).predict(table[:, :-1]) == table[:, -1]
     assert right.mean() > 0.97
+
+
+NAMES = [
+    # what layouts, states and topics are called marks nothing; an article, main and body are never marked by a name
+    ("<article class='post category-news tag-politics'><h1>T</h1><p>kept</p></article>", "T kept"),
+    ("<main class='tags'><article class='overflow-hidden' id=comments><p>kept</p></article></main>", "kept"),
+    (f"<body class='no-sidebar search'><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></body>", f"Title {LONG} Short. {LONG}"),
+    (f"<div class='single comments-open'><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div>", f"Title {LONG} {LONG}"),
+    (f"<div class='post category-cookies'><h1>Title</h1><p>{LONG}</p><div class=post-tags>Tags: a</div></div>", f"Title {LONG}"),
+    (f"<div class=search-page><p>{LONG}</p><p>{LONG}</p><ul><li><a href=/>One</a><li><a href=/>Two</a></ul></div>", f"{LONG} {LONG}"),
+    (f"<article><p>kept</p><div class='content-sidebar-wrap'><p>{LONG}</p></div></article>", f"kept {LONG}"),
+    # a name that covers the whole page
+    (f"<nav>menu</nav><div class=hidden><h1>Title</h1><p>{LONG}</p></div><footer>foot</footer>", f"Title {LONG}"),
+    # still marked
+    (f"<article class=tag-a><p>kept</p><div class='left-menu'>{LONG}</div><div class='comments-area'><article class='comment tag-a'><p>{LONG}</p></article></div></article>", "kept"),
+    (f"<div><p>{LONG}</p><section id=comments><article class=comment><p>no</p></article></section></div>", LONG),
+    (f"<p>{LONG}</p><div id=comment-12><p>{LONG}</p></div><div class='ad_slot'>{LONG}</div>", LONG),
+]
+
+
+def test_names_of_containers():
+    for page, want in NAMES:
+        assert htmltext.Extractor().texts([page]) == [want], page
