@@ -1,7 +1,8 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
-The benchmark is small beside the corpus and its size is checked (MAX_ITEM_WORDS). Its automaton goes
-to the workers once; each document's words are streamed through it, which gives the length of the
+The benchmark is small beside the corpus. Its automaton goes to the workers once; one of more than
+MAX_ITEM_WORDS is cut between items into several automata, which are scanned for one after the other,
+with each document's hits so far written beside it and merged at the end. Each document's words are streamed through it, which gives the length of the
 longest match that ends at every word. A word is hit if it lies inside an occurrence of a window:
 WINDOW consecutive words of an item, or the whole of a shorter item. Words outside the benchmark's
 vocabulary end every match, so only runs of known words of at least the shortest window are streamed.
@@ -17,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import bound_batches, tidy
+from .storage import Workspace, bound_batches, tidy
 from .textbytes import LOWER, NON_ALNUM, arrow_texts, chunks, span_hashes, word_spans
 
 WINDOW = 8
-MAX_ITEM_WORDS = 1_000_000
+MAX_ITEM_WORDS = 1_000_000  #: of one automaton, at 8 characters a word; a longer item has one of its own
 
 
 class SuffixAutomaton:
@@ -115,6 +116,22 @@ class SuffixAutomaton:
                     yield i, m, (item,), n
 
 
+#: From a word to the one after the last, from a byte to the one after the last.
+Span = tuple[int, int, int, int]
+
+
+def merge_spans(spans: Iterable[Span]) -> list[Span]:
+    """Spans in order; those that overlap or touch are one."""
+    out: list[Span] = []
+    for x, y, a, b in sorted(spans):
+        if out and out[-1][1] >= x:
+            u, v, c, d = out[-1]
+            out[-1] = u, max(v, y), c, max(d, b)
+        else:
+            out.append((x, y, a, b))
+    return out
+
+
 class Benchmark:
     """The automaton, the vocabulary (word hash -> id) and the item names."""
 
@@ -131,8 +148,8 @@ class Benchmark:
         self.shortest = min([min(window, b - a) for a, b in cuts if b > a], default=window)
         self.automaton = SuffixAutomaton(((number[r[0]], ids[a:b].tolist()) for r, (a, b) in zip(rows, cuts, strict=True)), window)
 
-    def matches(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, set[int], list[tuple[int, int]], int, int]]:
-        """For each text: words, items found, hit spans in bytes, hit words, longest match in words."""
+    def matches(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, set[int], list[Span], int]]:
+        """For each text: words, items found, hit spans, longest match in words."""
         for _, part, po in chunks(data, offs):
             low = LOWER[part]
             starts, ends, first = word_spans(low, po, NON_ALNUM)
@@ -157,7 +174,7 @@ class Benchmark:
             for d in range(len(po) - 1):
                 items: set[int] = set()
                 spans: list[list[int]] = []
-                longest = hit = 0
+                longest = 0
                 for a, b in zip(runs_a[at[d] : at[d + 1]].tolist(), runs_b[at[d] : at[d + 1]].tolist(), strict=True):
                     for i, m, found, whole in self.automaton.scan(ids[a:b].tolist()):
                         items.update(found)
@@ -166,18 +183,72 @@ class Benchmark:
                         while spans and spans[-1][1] >= x:  # ends never decrease
                             x = min(x, spans.pop()[0])
                         spans.append([x, y])
-                hit = sum(y - x for x, y in spans)
-                base = int(po[d])
-                yield int(first[d + 1] - first[d]), items, [(int(starts[x]) - base, int(ends[y - 1]) - base) for x, y in spans], hit, longest
+                base, zero = int(po[d]), int(first[d])
+                yield int(first[d + 1]) - zero, items, [(x - zero, y - zero, int(starts[x]) - base, int(ends[y - 1]) - base) for x, y in spans], longest
 
 
-def load_benchmark(items: DataFrame, window: int = WINDOW) -> Benchmark:
-    """items (item_id, text, ...) of at most MAX_ITEM_WORDS words; null texts have no words, rows that repeat an item_id are one item, one without item_id is named ''."""
+def item_parts(items: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
+    """items (item_id, text, ...) as lists of (name, text) for one automaton each, at least one; null texts have no words, rows that repeat an item_id are one item, one without item_id is named ''."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > 8 * MAX_ITEM_WORDS:
-        raise ValueError(f"benchmark of {size} characters is too large for one automaton")
-    return Benchmark([(r[0], r[1]) for r in rows.collect()], window)
+    most = 8 * MAX_ITEM_WORDS
+    if (rows.agg(F.sum(F.length("text"))).first()[0] or 0) <= most:
+        yield [(r[0], r[1]) for r in rows.collect()]
+        return
+    part, size = [], 0
+    for r in rows.toLocalIterator():
+        n = len(r[1] or "")
+        if part and size + n > most:
+            yield part
+            part, size = [], 0
+        part.append((r[0], r[1]))
+        size += n
+    yield part
+
+
+HITS = "__hits"
+HITS_TYPE = "struct<items:array<string>,spans:array<struct<x:int,y:int,a:long,b:long>>,longest:long>"
+
+
+def _hits(bench: Benchmark, batch: pa.RecordBatch) -> Iterator[tuple[int, set[str], list[Span], int]]:
+    """For each text: words, names of items, hit spans, longest match; with the hits of earlier automata, if the batch has them."""
+    data, offs = arrow_texts(batch.column("text"))
+    before = batch.column(HITS) if HITS in batch.schema.names else None
+    for i, (words, found, spans, longest) in enumerate(bench.matches(data, offs)):
+        names = {bench.names[k] for k in found}
+        old = before[i].as_py() if before is not None else None
+        if old:
+            names.update(old["items"])
+            spans = merge_spans([*spans, *((p["x"], p["y"], p["a"], p["b"]) for p in old["spans"])])
+            longest = max(longest, old["longest"])
+        yield words, names, spans, longest
+
+
+def _scanned(docs: DataFrame, items: DataFrame, window: int):
+    """docs with the hits of all automata but the last in HITS (no such column if there is one only), and the last, broadcast."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = docs.sparkSession
+    kind = T.StructType([*docs.schema.fields, T.StructField(HITS, T._parse_datatype_string(HITS_TYPE))])
+    hits = to_arrow_schema(kind).field(HITS).type
+    names = docs.columns
+    parts = item_parts(items)
+    part, work = next(parts), None
+    for k, following in enumerate(parts):
+        work = work or Workspace(spark, "decontaminate")
+        held = spark.sparkContext.broadcast(Benchmark(part, window))
+
+        def run(it, held=held):
+            bench = held.value
+            for batch in it:
+                rows = [{"items": sorted(n), "spans": [dict(zip("xyab", s, strict=True)) for s in spans], "longest": m} if n else None for _, n, spans, m in _hits(bench, batch)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(rows, hits)], [*names, HITS])
+
+        docs = work.write(bound_batches(docs).mapInArrow(tidy(run), kind), f"part-{k}")
+        held.destroy()
+        if k:
+            work.drop(f"part-{k - 1}")
+        part = following
+    return docs, spark.sparkContext.broadcast(Benchmark(part, window))
 
 
 FOUND = "doc_id long, n_words long, n_hit long, longest long, item_ids array<string>, spans array<struct<first:long,last:long>>"
@@ -189,7 +260,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW)
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower case. Null and empty texts
     have no words; a row for each row of docs, repeated ones too. Other columns are ignored.
     """
-    held = docs.sparkSession.sparkContext.broadcast(load_benchmark(items, window))
+    docs, held = _scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), items, window)
     kind = T._parse_datatype_string(FOUND)
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -198,12 +269,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW)
     def run(it):
         bench = held.value
         for batch in it:
-            data, offs = arrow_texts(batch.column("text"))
-            out = [(w, h, n, sorted(bench.names[i] for i in items), [{"first": a, "last": b} for a, b in spans]) for w, items, spans, h, n in bench.matches(data, offs)]
+            out = [(w, sum(y - x for x, y, _, _ in spans), n, sorted(names), [{"first": a, "last": b} for _, _, a, b in spans]) for w, names, spans, n in _hits(bench, batch)]
             cols = [batch.column("doc_id"), *(pa.array([o[k] for o in out], schema.field(k + 1).type) for k in range(5))]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return bound_batches(docs).mapInArrow(run, kind)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_items: int = 1, coverage: float = 0.5, most_words: int | None = None) -> DataFrame:
@@ -213,19 +283,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
     or if a match is longer than `most_words`. Of the rest, hit spans are cut out of the text and
     n_chars (if there) is set anew; rows without hits are passed on as they are.
     """
-    held = docs.sparkSession.sparkContext.broadcast(load_benchmark(items, window))
-    names = docs.columns
+    names, kind = docs.columns, docs.schema
+    docs, held = _scanned(docs, items, window)
 
     def run(it):
         bench = held.value
         for batch in it:
             data, offs = arrow_texts(batch.column("text"))
             keep, new = [], {}
-            for i, (words, found, spans, hit, longest) in enumerate(bench.matches(data, offs)):
+            for i, (words, found, spans, longest) in enumerate(_hits(bench, batch)):
+                hit = sum(y - x for x, y, _, _ in spans)
                 keep.append(len(found) <= most_items and hit <= coverage * words and not (most_words and longest > most_words))
                 if spans and keep[-1]:
                     raw, at, parts = data[offs[i] : offs[i + 1]].tobytes(), 0, []
-                    for a, b in spans:
+                    for _, _, a, b in spans:
                         parts.append(raw[at:a])
                         at = b
                     new[i] = b"".join([*parts, raw[at:]]).decode()
@@ -240,4 +311,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
                 cols.append(col)
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
 
-    return bound_batches(docs).mapInArrow(tidy(run), docs.schema)
+    return bound_batches(docs).mapInArrow(tidy(run), kind)

@@ -96,3 +96,17 @@ def test_repeated_and_unnamed_items(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p q r s t u v w x")], "doc_id long, text string")
     row = d.find_contamination(docs, items).first()
     assert row.item_ids == ["", "1"] and row.n_hit == 24
+
+
+def test_benchmark_of_several_automata(spark, monkeypatch):
+    docs, items = case(3)
+    df = spark.createDataFrame([(a, b, len(b or "")) for a, b in [*docs, (None, docs[0][1]), (0, docs[1][1])]], "doc_id long, text string, n_chars int").repartition(3)
+    table = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    found = lambda: sorted(d.find_contamination(df, table).collect(), key=str)
+    left = lambda: sorted(d.decontaminate(df, table).collect(), key=str)
+    one = found(), left()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in one[0] if r.doc_id} == {k: v for k, v in brute(docs, items).items() if k}
+    monkeypatch.setattr(d, "MAX_ITEM_WORDS", 8)
+    assert len(list(d.item_parts(table))) > 3
+    assert (found(), left()) == one
+    assert 0 < len(one[1]) < df.count()
