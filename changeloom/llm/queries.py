@@ -48,10 +48,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    digests = docs.select(F.col("doc_id").alias("of"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    found = exact_dedup.exact_duplicates(docs)
-    return found.join(digests, F.col("doc_id") == F.col("of")).drop("of")
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), digests=True)
 
 
 def op8_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Every operator on one table of odd rows: nulls in any column, repeats, very long and empty texts, clashing column names; and on empty tables."""
 
+import hashlib
+
 import public_tokenizers
 import pytest
-from changeloom.llm import bpe, decontaminate, exact_dedup, htmltext, langid, licenses, ngram_join, quality, token_files, toxicity
+from changeloom.llm import bpe, decontaminate, exact_dedup, htmltext, langid, licenses, ngram_join, quality, queries, token_files, toxicity
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ROWS = [
@@ -52,3 +54,12 @@ def test_empty_tables(spark, docs, tmp_path):
     for name, run in operators(spark, tmp_path).items():
         out = run(none)
         assert out.collect() == [] and "doc_id" in out.columns, name
+
+
+def test_exact_dedup_query(spark, docs, tmp_path):
+    other = spark.createDataFrame([(1, "another text of a repeated id"), (None, None)], "doc_id long, text string")
+    docs.unionByName(other, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_exact_dedup(spark, str(tmp_path)).collect()
+    texts = [(r[0], r[1] or "") for r in [*ROWS, (1, "another text of a repeated id"), (None, None)]]
+    size = lambda t: sum(u == t for _, u in texts)
+    assert sorted(((r.doc_id, r.group_size, r.text_sha256) for r in got), key=str) == sorted(((k, size(t), hashlib.sha256(t.encode()).hexdigest()) for k, t in texts), key=str)
