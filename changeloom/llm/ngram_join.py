@@ -36,7 +36,6 @@ FREQUENT = 16  #: from so many sets on a token is indexed in combinations
 FEW = 16  #: an index entry of so many sets gives all its pairs
 BLOCK = 256  #: sets in a block of the last comparison
 BUCKET_TOKENS = 1 << 20
-COUNTED_SHARE = 0.5  #: of the hash space whose tokens are counted and come first in the order
 _U = np.uint64
 _CLASS_F = FREQUENT.bit_length()
 
@@ -74,12 +73,10 @@ def _power_of_two(x: float) -> int:
 
 
 def _count_pieces(width: int, buckets: int):
-    """Tokens of the counted share of the hash space with the number of sets they are in, merged a few MB at a time."""
-    limit = _U(int(COUNTED_SHARE * (1 << 64)) - 1)
+    """Tokens with the number of sets they are in, merged a few MB at a time."""
 
     def flush(held):
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        # stretch the counted part over all buckets
         rows = list(_runs(tokens, buckets, counts.astype(np.uint16 if counts.max() < 65536 else np.uint32)))
         wide = [counts.max() >= 65536] * len(rows)
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array(wide, pa.bool_())], ["bucket", "tokens", "counts", "wide"])
@@ -90,8 +87,8 @@ def _count_pieces(width: int, buckets: int):
             if len(tokens) < 4 or sid in seen:
                 continue
             seen.add(sid)
-            held.append(tokens[: np.searchsorted(tokens, limit)])
-            n += len(held[-1])
+            held.append(tokens)
+            n += len(tokens)
             if n >= 2 * BUCKET_TOKENS:
                 yield flush(held)
                 held, n = [], 0
@@ -101,6 +98,18 @@ def _count_pieces(width: int, buckets: int):
     return run
 
 
+def _tidy_group(run):
+    """A function of a group's table after which a reused worker keeps no memory that later groups and tasks do not need."""
+
+    def go(table: pa.Table) -> pa.Table:
+        out = run(table)
+        del table
+        release_memory()
+        return out
+
+    return go
+
+
 def _count_merge(table: pa.Table) -> pa.Table:
     tokens, counts = [], []
     for t, c, wide in zip(table.column("tokens"), table.column("counts"), table.column("wide"), strict=True):
@@ -120,15 +129,14 @@ def _index_keys(tokens: np.ndarray, order_tokens: np.ndarray, order_class: np.nd
     n = len(tokens)
     need = (n * num + den - 1) // den
     cls = np.full(n, -1, np.int16)
-    # counted rare tokens first, then frequent ones by class, then uncounted tokens
-    cls[np.searchsorted(tokens, _U(int(COUNTED_SHARE * (1 << 64)) - 1)) :] = 99
+    # rare tokens first, then frequent ones by class
     if len(order_tokens):
         at = np.minimum(np.searchsorted(order_tokens, tokens), len(order_tokens) - 1)
         hit = order_tokens[at] == tokens
         cls[hit] = order_class[at[hit]]
     order = np.argsort(cls, kind="stable")
     ordered, cls = tokens[order], cls[order]
-    frequent = (cls >= _CLASS_F) & (cls < 99)
+    frequent = cls >= _CLASS_F
     level = int(np.floor(np.log(n) / np.log(den / num) + 1e-9))
     combos, longest = [], 0
     for lv in (level, level + 1):
@@ -316,7 +324,7 @@ def order_table(spark: SparkSession, work: Workspace, texts: DataFrame, total: i
     """The most frequent tokens (sorted hashes) with the bit length of the number of sets they are in: as many classes as fit TABLE_TOKENS."""
     buckets = _power_of_two(total / BUCKET_TOKENS)
     pieces = texts.mapInArrow(tidy(_count_pieces(width, buckets)), "bucket int, tokens binary, counts binary, wide boolean")
-    often = work.write(pieces.groupBy("bucket").applyInArrow(_count_merge, "token long, df long"), "often")
+    often = work.write(pieces.groupBy("bucket").applyInArrow(_tidy_group(_count_merge), "token long, df long"), "often")
     by_df = often.groupBy(F.ceil(F.log2(F.col("df"))).cast("int").alias("k")).agg(F.count("*").alias("c")).collect()  # at most 63 rows
     room, least = TABLE_TOKENS, 64
     for k, c in sorted(((r["k"], r["c"]) for r in by_df), reverse=True):
@@ -338,7 +346,7 @@ def _links(spark: SparkSession, work: Workspace, texts: DataFrame, nodes: DataFr
     table = spark.sparkContext.broadcast(order_table(spark, work, texts, total, width))
     buckets = _power_of_two(total * 0.3 / BUCKET_TOKENS)
     index = work.write(texts.mapInArrow(tidy(_index_pieces(width, buckets, table, num, den)), "bucket int, keys binary, sids binary"), "index")
-    singles = work.write(index.where("bucket >= 0").groupBy("bucket").applyInArrow(_index_merge, "key long, a long, b long"), "singles")
+    singles = work.write(index.where("bucket >= 0").groupBy("bucket").applyInArrow(_tidy_group(_index_merge), "key long, a long, b long"), "singles")
     combos = index.where("bucket < 0").select("keys", "sids").mapInArrow(_unpack, "key long, sid long").distinct()
     hubs = combos.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     to_node = nodes.select("sid", "node", "n")
@@ -377,7 +385,7 @@ def _links(spark: SparkSession, work: Workspace, texts: DataFrame, nodes: DataFr
     left = every.where("component <> main").select("cluster", F.lit(True).alias("left"), "node", "component", F.pmod(F.xxhash64("node"), F.col("lefts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
     right = every.select("cluster", F.lit(False).alias("left"), "node", "component", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("rights")).cast("int").alias("j"))
     dealt = left.select(*right.columns).union(right).join(sets, "node")
-    more = dealt.groupBy("cluster", "i", "j").applyInArrow(_compare_blocks(num, den), "a long, b long")
+    more = dealt.groupBy("cluster", "i", "j").applyInArrow(_tidy_group(_compare_blocks(num, den)), "a long, b long")
     return work.write(links.union(more.distinct()), "all-links")
 
 

@@ -71,3 +71,27 @@ def test_repeated_and_missing_ids(spark):
     got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df).collect()), key=str)
     assert got == sorted([(1, 3, 1), (1, 3, 1), (0, 3, 1), (0, 3, None), (0, 0, None), (2, 3, 1)], key=str)
     assert sorted((r.doc_id or 0) for r in ngram_join.near_duplicate_filter(df).collect()) == [0, 0, 0, 1, 1]
+
+
+def test_every_token_is_counted(spark):
+    from collections import Counter
+
+    import numpy as np
+    from changeloom.llm.storage import Workspace
+    from changeloom.llm.textbytes import arrow_texts, shingle_sets
+
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {tuple(s.tolist()) for s in shingle_sets(*arrow_texts(df.select("text").toArrow().column("text")), 5)}
+    df_of = Counter(t for s in sets if len(s) >= 4 for t in s)
+    # one task: equal sets are counted once in each
+    tokens, classes = ngram_join.order_table(spark, Workspace(spark, "order"), df.coalesce(1), sum(map(len, sets)), 5)
+    want = {t: n.bit_length() for t, n in df_of.items() if n > 2}
+    assert dict(zip(tokens.tolist(), classes.tolist(), strict=True)) == want
+    # frequent ones are in combinations only, whatever their hash
+    often = tokens[classes >= ngram_join._CLASS_F]
+    assert len(often) > 50
+    for s in sets:
+        if len(s) >= 4:
+            singles, _ = ngram_join._index_keys(np.array(s, np.uint64), tokens, classes, 4, 5)
+            assert not np.isin(singles, often).any()
