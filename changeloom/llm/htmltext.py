@@ -3,9 +3,12 @@
 A page is cut into a flat list of blocks at block-level tags. Each block has its word count, its link
 density, the same of the blocks before and after it, and where it stands (inside a container that is
 never main text by its tag, class or id, or perhaps so by a class or id that may be one of a layout;
-inside an article or main element; a heading). A CART tree,
-trained here on the small labelled table LABELLED, tells main text from the rest. Contents of
-scripts, styles, forms' controls and the head are never blocks.
+inside an article or main element; a heading). A CART tree, trained here on the small labelled table
+LABELLED, tells main text from the rest: where a block stands is an input beside the others and does
+not settle it, as unmarked lists of links in an article are not main text and long text in a container
+of a doubtful name is. Contents of scripts, styles, forms' controls and the head are never blocks.
+
+Pages are read forwards once, so the time is in proportion to the page however broken its markup is.
 """
 
 from __future__ import annotations
@@ -23,7 +26,10 @@ from pyspark.sql import functions as F
 from .storage import bound_batches
 
 #: Elements whose content is not shown as text, up to their end tag.
-DROPPED = {"script", "style", "noscript", "template", "svg", "math", "textarea", "select", "button", "iframe", "object", "canvas", "audio", "video", "title", "datalist", "option", "xmp", "noembed", "noframes"}
+DROPPED = {"script", "style", "noscript", "template", "svg", "textarea", "select", "button", "iframe", "object", "canvas", "audio", "video", "title", "datalist", "option", "xmp", "noembed", "noframes", "annotation", "annotation-xml"}
+#: Of them, those whose content is no markup, and those that a block element ends.
+RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+INLINE = {"select", "button", "datalist", "option", "svg"}
 #: Elements that begin and end a block.
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -57,8 +63,91 @@ PARTS = {
 #: How much a container is outside main text: not at all, perhaps by its name, by its name, for sure by its tag, role or style.
 FREE, PERHAPS, NAMED, SURE = range(4)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)[^<>\"']*+")
+_STOP = re.compile(r"[<>\"']")
+_ATTR = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]++)))?")
+
+
+class Tokens:
+    """Text and tags of a page in order: (text, None, False, '') or ('', tag name, whether it closes, attributes).
+
+    A tag ends at the first `>` outside quotes, or before a `<` there; a quote that is never closed is none.
+    What could begin a tag or a comment but never ends is text, but for a comment's opening, which is skipped.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.pos = page, 0
+        self._after: dict[str, int] = {}  # where a string comes next, at or behind a place it was looked for from
+        self._quotes = True
+
+    def _next(self, what: str, start: int) -> int:
+        """page.find(what, start) for places that never go back, looking at each part of the page once."""
+        at = self._after.get(what, -1)
+        if 0 <= at < start or what not in self._after:
+            at = self._after[what] = self.page.find(what, start)
+        return at
+
+    def _end(self, at: int) -> tuple[int, int]:
+        """Of a tag that goes on at `at`: where its attributes end, and where the page goes on."""
+        page, start = self.page, at
+        while m := _STOP.search(page, at):
+            c, at = m[0], m.start()
+            if c == ">":
+                return at, at + 1
+            if c == "<":
+                return at, at
+            closed = self._next(c, at + 1) if self._quotes else -1
+            at = max(closed, at) + 1
+        self._quotes = False  # the quotes of this page do not pair up
+        at = self._next(">", start)
+        return at, at + 1
+
+    def __iter__(self) -> Iterator[tuple[str, str | None, bool, str]]:
+        page, size = self.page, len(self.page)
+        text = 0  # where text that is not yet given begins
+        while (at := page.find("<", self.pos)) >= 0:
+            if at > text:
+                yield page[text:at], None, False, ""
+            text = at
+            end = self._next(">", at)
+            if end < 0 and not page.startswith("<!--", at):
+                break
+            m = _TAG.match(page, at)
+            if m:
+                stop = m.end()
+                close, self.pos = (stop, stop + 1) if page[stop : stop + 1] == ">" else self._end(stop)
+                text = self.pos
+                yield "", m[2].lower(), bool(m[1]), page[m.end(2) : close]
+                text = self.pos
+            elif page.startswith("<!--", at):
+                end = self._next("-->", at + 2)
+                self.pos = text = end + 3 if end >= 0 else at + 4
+            elif page.startswith(("<!", "<?", "</"), at):
+                self.pos = text = end + 1
+            else:
+                self.pos = at + 1
+                yield "<", None, False, ""
+                text = self.pos
+        if text < size:
+            yield page[text:], None, False, ""
+
+    def closing(self, name: str) -> int:
+        """Where the next end tag of that name begins, -1 if there is none."""
+        key = f"</{name}"
+        at = self._after.get(key, -1)
+        if 0 <= at < self.pos or key not in self._after:
+            m = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(self.page, self.pos)
+            at = self._after[key] = m.start() if m else -1
+        return at
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Names in lower case with their values; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(text):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
 
 #: words, link density in %, words and link density before, words and link density after, inside a
 #: container that is never main text (0.5: perhaps, by its name), inside article or main (-1: beside it,
@@ -68,9 +157,15 @@ LABELLED = [
     (40, 0, 12, 0, 60, 0, 0, 1, 0, 1), (3, 0, 30, 0, 45, 0, 0, 1, 0, 1), (1, 0, 8, 0, 0, 0, 0, 1, 0, 1), (120, 5, 40, 0, 80, 2, 0, 1, 0, 1), (15, 40, 60, 0, 50, 0, 0, 1, 0, 1),
     (6, 100, 60, 0, 50, 0, 0, 1, 0, 1), (2, 100, 20, 0, 30, 10, 0, 1, 0, 1), (9, 0, 4, 100, 6, 0, 0, 1, 0, 1), (25, 0, 5, 0, 12, 0, 0, 1, 0, 1), (5, 0, 1, 100, 4, 0, 0, 1, 0, 1),
     (300, 0, 10, 0, 3, 0, 0, 1, 0, 1), (700, 0, 0, 0, 0, 0, 0, 1, 0, 1), (2, 0, 700, 0, 1, 0, 0, 1, 0, 1), (18, 0, 2, 0, 9, 100, 0, 1, 0, 1), (1, 0, 1, 0, 1, 0, 0, 1, 0, 1),
-    (4, 100, 3, 100, 5, 100, 0, 1, 0, 1), (50, 30, 9, 100, 7, 60, 0, 1, 0, 1), (3, 0, 0, 0, 0, 0, 0, 1, 0, 1), (11, 0, 1, 100, 9, 0, 0, 1, 0, 1), (28, 90, 12, 0, 4, 0, 0, 1, 0, 1),
+    (50, 30, 9, 100, 7, 60, 0, 1, 0, 1), (3, 0, 0, 0, 0, 0, 0, 1, 0, 1), (11, 0, 1, 100, 9, 0, 0, 1, 0, 1), (28, 90, 12, 0, 4, 0, 0, 1, 0, 1),
     (2, 0, 2, 100, 3, 100, 0, 1, 0, 1), (16, 0, 16, 0, 6, 0, 0, 1, 0, 1), (5, 0, 3, 100, 60, 0, 0, 1, 0, 1), (70, 0, 14, 0, 2, 100, 0, 1, 0, 1), (8, 12, 5, 0, 20, 50, 0, 1, 0, 1),
-    (1, 0, 0, 0, 2, 100, 0, 1, 0, 1), (6, 0, 4, 0, 5, 50, 0, 1, 0, 1), (3, 0, 50, 0, 0, 0, 0, 1, 0, 1), (5, 100, 70, 0, 80, 0, 0, 1, 0, 1), (20, 90, 5, 100, 6, 100, 0, 1, 0, 1),
+    (1, 0, 0, 0, 2, 100, 0, 1, 0, 1), (6, 0, 4, 0, 5, 50, 0, 1, 0, 1), (3, 0, 50, 0, 0, 0, 0, 1, 0, 1), (5, 100, 70, 0, 80, 0, 0, 1, 0, 1),
+    # lists of links in it: tables of contents, further reading
+    (4, 100, 3, 100, 5, 100, 0, 1, 0, 0), (20, 90, 5, 100, 6, 100, 0, 1, 0, 0), (1, 100, 2, 100, 1, 100, 0, 1, 0, 0), (7, 100, 9, 100, 8, 95, 0, 1, 0, 0), (3, 100, 60, 0, 4, 100, 0, 1, 0, 0), (6, 100, 4, 100, 40, 0, 0, 1, 0, 0),
+    (12, 100, 10, 100, 3, 0, 0, 1, 0, 0), (5, 95, 2, 0, 6, 100, 0, 1, 0, 0), (2, 100, 3, 100, 120, 0, 0, 1, 0, 0), (9, 100, 15, 0, 7, 100, 0, 1, 0, 0), (4, 100, 6, 100, 0, 0, 0, 1, 0, 0),
+    (6, 100, 30, 95, 40, 0, 0, 1, 0, 0), (5, 100, 12, 100, 60, 0, 0, 1, 0, 0), (8, 100, 25, 100, 2, 0, 0, 1, 0, 0), (3, 100, 9, 0, 5, 100, 0, 1, 0, 0), (7, 100, 45, 0, 28, 100, 0, 1, 0, 0),
+    # a link that stands alone between its paragraphs
+    (6, 100, 30, 0, 40, 0, 0, 1, 0, 1), (4, 100, 25, 0, 22, 10, 0, 1, 0, 1), (3, 100, 9, 0, 7, 0, 0, 1, 0, 1), (12, 100, 4, 0, 3, 0, 0, 1, 0, 1), (2, 100, 120, 0, 15, 0, 0, 1, 0, 1), (5, 100, 2, 0, 60, 0, 0, 1, 0, 1),
     # its headings
     (7, 0, 6, 0, 40, 0, 0, 1, 1, 1), (4, 0, 90, 0, 70, 0, 0, 1, 1, 1), (10, 100, 1, 100, 30, 0, 0, 1, 1, 1), (2, 0, 4, 100, 10, 0, 0, 1, 1, 1),
     # menus, footers, sidebars and adverts, in and out of the article
@@ -91,6 +186,8 @@ LABELLED = [
     (3, 100, 2, 100, 4, 100, 0, 0, 0, 0), (20, 90, 5, 100, 6, 100, 0, 0, 0, 0), (4, 0, 2, 100, 3, 100, 0, 0, 0, 0), (2, 0, 5, 0, 3, 0, 0, 0, 0, 0), (8, 80, 60, 0, 5, 100, 0, 0, 0, 0),
     (3, 0, 1, 100, 2, 0, 0, 0, 1, 0), (2, 0, 4, 100, 3, 100, 0, 0, 1, 0), (15, 100, 50, 0, 60, 0, 0, 0, 0, 0), (6, 0, 4, 0, 5, 50, 0, 0, 0, 0), (9, 0, 3, 100, 2, 0, 0, 0, 0, 0),
     (35, 85, 40, 90, 20, 100, 0, 0, 0, 0), (5, 100, 70, 0, 80, 0, 0, 0, 0, 0), (3, 0, 50, 0, 0, 0, 0, 0, 0, 0), (6, 0, 40, 0, 4, 100, 0, 0, 0, 0), (1, 0, 0, 0, 2, 100, 0, 0, 0, 0),
+    (1, 100, 1, 100, 3, 0, 0, 0, 0, 0), (1, 100, 2, 100, 8, 0, 0, 0, 0, 0), (2, 100, 3, 100, 30, 0, 0, 0, 0, 0), (2, 100, 90, 0, 1, 100, 0, 0, 0, 0), (2, 100, 60, 0, 0, 0, 0, 0, 0, 0), (1, 100, 2, 100, 0, 0, 0, 0, 0, 0),
+    (1, 100, 0, 0, 1, 100, 0, 0, 0, 0), (1, 100, 1, 100, 1, 100, 0, 0, 0, 0), (1, 100, 25, 0, 0, 0, 0, 0, 0, 0), (3, 100, 2, 100, 2, 0, 0, 0, 0, 0),
     # containers with a name that may be one of a layout: text of a page
     (45, 0, 8, 0, 70, 5, 0.5, 0, 0, 1), (90, 10, 50, 0, 60, 0, 0.5, 0, 0, 1), (30, 0, 4, 0, 35, 0, 0.5, 0, 0, 1), (22, 0, 40, 0, 2, 100, 0.5, 0, 0, 1), (5, 0, 60, 0, 55, 0, 0.5, 0, 0, 1), (40, 0, 0, 0, 0, 0, 0.5, 0, 0, 1),
     (12, 0, 35, 0, 30, 0, 0.5, 0, 0, 1), (26, 0, 2, 100, 3, 100, 0.5, 0, 0, 1), (6, 0, 3, 100, 50, 0, 0.5, 0, 1, 1), (4, 0, 45, 0, 60, 0, 0.5, 0, 1, 1), (9, 0, 0, 0, 80, 0, 0.5, 0, 1, 1),
@@ -146,11 +243,11 @@ class Tree:
         return out
 
 
-def _name_mark(name: str, marks: re.Pattern) -> int:
-    """FREE, PERHAPS or NAMED, by one class or id."""
+def _name_mark(name: str, marks: re.Pattern, paragraph: bool = False) -> int:
+    """FREE, PERHAPS or NAMED, by one class or id; a vague word alone tells less of a paragraph than of a container."""
     parts = [p for p in re.split(r"[-_]+", _CAMEL.sub("-", name).lower()) if p]
     if marks.fullmatch("".join(parts)):
-        return NAMED
+        return PERHAPS if paragraph and VAGUE.issuperset(parts) else NAMED
     parts = [p for p in parts if not p[0].isdigit()]  # comment-12
     found = [p for p in parts if marks.fullmatch(p)]
     if not found or STATES.intersection(parts) or parts[-1] in LAST_STATES:
@@ -164,10 +261,10 @@ def _name_mark(name: str, marks: re.Pattern) -> int:
 
 
 @lru_cache(4096)
-def name_mark(names: str, header: bool) -> int:
+def name_mark(names: str, header: bool, paragraph: bool = False) -> int:
     """How much the classes and ids (apart by white space) tell that a container is outside main text; `header`: page headers count."""
     each = names.split()
-    level = max([_name_mark(n, MARKS) for n in each if n != "hidden"], default=FREE)
+    level = max([_name_mark(n, MARKS, paragraph) for n in each if n != "hidden"], default=FREE)
     if "hidden" in each:  # hidden md:block is shown on larger screens
         level = max(level, PERHAPS if ":" in names else NAMED)
     return max(level, max([_name_mark(n, HEADER_MARKS) for n in each], default=FREE)) if header else level
@@ -178,15 +275,19 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, float, bool, bool]]:
 
     Names never mark html, body and main, nor an article that is in no other and in no marked container.
     Where nothing else is left of a page without article, names only tell that a container is perhaps outside.
+    An element of DROPPED without an end tag hides nothing, but for scripts and styles, which go on to the page's end;
+    one of INLINE ends with the block it is in. Character references do not reach over tags.
     """
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int, bool]] = []  # open block elements, how much they are outside main text, whether they hold it
+    opened: dict[str, int] = {}  # how many of each name are on the stack
     inside = articles = 0  # open article and main elements that hold main text; the articles of them
     outside = [[0] * 4]  # open elements by how much they are outside main text, by article level
     link = head = alone = 0
+    hidden = ""  # an open element of DROPPED
     found: list[tuple] = []
-    pos, size = 0, len(page)
+    tokens = Tokens(page)
 
     def level() -> int:
         return max(k for k in range(4) if k == FREE or outside[-1][k])
@@ -194,31 +295,36 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, float, bool, bool]]:
     def flush():
         nonlocal alone
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 n = text.count(" ") + 1
-                found.append((text, n, min(n, len(html.unescape(" ".join(linked)).split())), max(level(), alone), inside > 0, head > 0))
+                found.append((text, n, min(n, len(" ".join(linked).split())), max(level(), alone), inside > 0, head > 0))
         parts.clear()
         linked.clear()
         alone = FREE
 
-    while pos < size:
-        m = _TAG.search(page, pos)
-        end = m.start() if m else size
-        if end > pos:
-            parts.append(page[pos:end])
-            if link:
-                linked.append(page[pos:end])
-        if not m:
-            break
-        pos = m.end()
-        if m[2] is None:
+    for text, name, closing, more in tokens:
+        if name is None:
+            if not hidden:
+                text = html.unescape(text)
+                parts.append(text)
+                if link:
+                    linked.append(text)
             continue
-        name, closing = m[2].lower(), bool(m[1])
+        if hidden:
+            if closing and name == hidden:
+                hidden = ""
+                continue
+            if hidden not in INLINE or name not in BLOCK:
+                continue
+            hidden = ""
         if name in DROPPED:
-            if not closing and not m[3].rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
-                pos = stop.end() if stop else size
+            if not closing and not more.rstrip().endswith("/"):
+                stop = tokens.closing(name)
+                if name in RAW and (stop >= 0 or name in ("script", "style")):
+                    tokens.pos = stop if stop >= 0 else len(page)
+                elif stop >= 0:
+                    hidden = name
             continue
         if name == "a":
             link = 0 if closing else 1
@@ -236,15 +342,12 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, float, bool, bool]]:
                     continue
                 # a paragraph or item that is marked stands alone until the next block
             if not closing:
-                attrs = {a[0].lower(): " ".join(a[1:]) for a in _ATTR.findall(m[3])} if m[3].strip() else {}
+                attrs = attributes(more) if more.strip() else {}
                 holds = name in ("html", "body", "main") or name == "article" and not articles and level() < NAMED
-                mark = FREE if holds else name_mark(f"{attrs.get('class', '')} {attrs.get('id', '')}", not inside)
+                mark = FREE if holds else name_mark(f"{attrs.get('class', '')} {attrs.get('id', '')}", not inside, name in ("p", "li"))
                 if name not in ("html", "body") and (attrs.get("role", "").strip() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog") or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "")):
                     mark = SURE
                 if name in ("p", "li"):
-                    if mark > PERHAPS:
-                        stop = re.compile(rf"</{name}\s*>|<(?:{'|'.join(BLOCK)})\b", re.I).search(page, pos)
-                        pos = stop.start() if stop else size
                     alone = mark
                     continue
                 main = name in ("article", "main") and mark < NAMED
@@ -252,14 +355,16 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, float, bool, bool]]:
                 if name in OUTSIDE and not (name == "header" and inside):
                     mark = SURE
                 stack.append((name, mark, main))
+                opened[name] = opened.get(name, 0) + 1
                 if main:
                     inside += 1
                     articles += name == "article"
                     outside.append([0] * 4)
                 outside[-1][mark] += 1
-            elif any(name == n for n, _, _ in stack):
+            elif opened.get(name):
                 while stack:
                     top, mark, main = stack.pop()
+                    opened[top] -= 1
                     if main:
                         inside -= 1
                         articles -= top == "article"
@@ -300,8 +405,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", labelled: list[tuple] = L
     """pages (id_col, url, html, ...) -> (id_col, url, text string), a row for each row of pages.
 
     text is the main text's blocks in page order, joined by a space, character references decoded and
-    white space inside a block turned into one space; empty if there is none or html is null. Whole
-    pages are read, whatever their size. Other columns are ignored.
+    white space inside a block turned into one space; empty if there is none or html is null or empty. Whole
+    pages are read, whatever their size; pages without id and repeated ones are pages like any other. Other
+    columns are ignored, whatever their names.
     """
     model = Extractor(labelled)
     kind = pages.select(id_col, "url").schema.add("text", "string")

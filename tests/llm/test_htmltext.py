@@ -73,3 +73,78 @@ NAMES = [
 def test_names_of_containers():
     for page, want in NAMES:
         assert htmltext.Extractor().texts([page]) == [want], page
+
+
+BROKEN = [
+    # an element that is never closed hides nothing
+    ("<article><p>Hello <button>b rest</p><p>more</article>", "Hello b rest more"),
+    ("<article><p>one<svg><path d='M0'/>two</p><p>three</p></article>", "onetwo three"),
+    ("<article><p>a <select><option>x</p><p>b</p></article>", "a x b"),
+    ("<article><p>a <button>not this</button> b</p><noscript><p>nor this</p></noscript><p>c</p></article>", "a b c"),
+    ("<article><p>a <button>ends with</p><p>its paragraph <button>x</button> b</p></article>", "a its paragraph b"),
+    ("<article><p>kept</p><script>var a = '<p>no</p>';", "kept"),
+    ("<article><p>kept<!-- never closed <p>and this</p></article>", "kept never closed and this"),
+    ("<article><p>x <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a+b</annotation></math> y</p></article>", "x a+b y"),
+    # references do not reach over tags
+    ("<article><p>&am<b>p;</b> &amp;amp; &lt<i>;</i></p></article>", "&amp; &amp; <;"),
+    # tags without an end
+    ("<article><p class='a' <b>bold</b> <p>x</p></article>", "bold x"),
+    ('<article><p title="a > b">in</p><p title=">out</p></article>', "in out"),
+    # a value that looks like an attribute
+    ("<article><p title='see class=menu'>kept</p></article>", "kept"),
+]
+
+
+def test_broken_markup():
+    for page, want in BROKEN:
+        assert htmltext.Extractor().texts([page]) == [want], page
+
+
+def test_marked_paragraphs_reach_the_tree():
+    for name in ("legal", "side", "tags"):
+        page = f"<article><p>{LONG}</p><p class={name}>{LONG}</p><p>{LONG}</p></article>"
+        assert htmltext.Extractor().texts([page]) == [f"{LONG} {LONG} {LONG}"], name
+        short = f"<article><p>{LONG}</p><p class={name}><a href=/>One</a> <a href=/>Two</a></p><p>{LONG}</p></article>"
+        assert htmltext.Extractor().texts([short]) == [f"{LONG} {LONG}"], name
+
+
+#: Pages without article, main, class or id: only counts and densities tell.
+BARE = [
+    (f"<div><a href=/>Home</a></div><div><a href=/>News</a></div><div><a href=/>Sport</a></div><h1>The title</h1><div>{LONG}</div><div>{LONG}</div><div>{LONG}</div><div><a href=/>About us</a></div><div><a href=/>Contact</a></div>", f"The title {LONG} {LONG} {LONG}"),
+    (f"<table><tr><td><a href=/>One</a></td><td><a href=/>Two</a></td></tr><tr><td>{LONG}</td></tr><tr><td>Short line.</td></tr><tr><td>{LONG}</td></tr><tr><td><a href=/>Next</a></td></tr></table>", f"{LONG} Short line. {LONG}"),
+    # the same block, kept or not by its neighbours
+    (f"<article><p>{LONG}</p><p><a href=/>A paragraph that links</a></p><p>{LONG}</p></article>", f"{LONG} A paragraph that links {LONG}"),
+    (f"<article><p>{LONG}</p><ul><li><a href=/>A paragraph that links</a><li><a href=/>And one more</a><li><a href=/>The last</a></ul><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+]
+
+
+def test_neighbours_decide():
+    for page, want in BARE:
+        assert htmltext.Extractor().texts([page]) == [want], page
+
+
+def test_where_a_block_stands_does_not_settle_it():
+    """Blocks at the same place in the labelled table have both outcomes, and the tree asks for densities and neighbours."""
+    outcomes = {}
+    for *_, mark, inside, _head, label in htmltext.LABELLED:
+        outcomes.setdefault((mark, inside), set()).add(label)
+    assert {place for place, found in outcomes.items() if len(found) == 2} >= {(0, 0), (0, 1), (0.5, 0), (0.5, 1)}
+    used = set()
+
+    def walk(node):
+        if not isinstance(node, bool):
+            used.add(node[0])
+            walk(node[2]), walk(node[3])
+
+    walk(htmltext.Extractor().tree.root)
+    assert {0, 1, 3, 5} <= used
+
+
+def test_time_is_linear():
+    import time
+
+    for unit in ("<a ", "<", "<a \"", "<a '\"", "<!--", "</", "<button>", "<svg><select>", "<div></section>", "<div>", '<p class="x', "<script", "<a b='\">", "&#"):
+        page = "<article><p>kept " + unit * (1_000_000 // len(unit))
+        began = time.perf_counter()
+        assert htmltext.Extractor().texts([page])[0].startswith("kept")
+        assert time.perf_counter() - began < 20, unit
