@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import storage
-from .storage import Workspace, broadcast_if_small
+from .storage import Workspace, broadcast_if_small, join_groups
 
 PREFIX_CHARS = 64
 HOT_ROWS = 1000
@@ -23,15 +22,6 @@ def _size_and_prefix(text: Column) -> list[Column]:
     return [F.octet_length(text).alias("size"), F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("prefix")]
 
 
-def _join_groups(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
-    """rows with the columns of their group (groups has group_size); groups of many rows are broadcast, so they never meet in one task."""
-    hot = HOT_ROWS
-    while groups.where(F.col("group_size") >= hot).count() > storage.BROADCAST_KEYS:
-        hot *= 10
-    large, rest = F.broadcast(groups.where(F.col("group_size") >= hot)), groups.where(F.col("group_size") < hot)
-    return rows.join(large, on).unionByName(rows.join(F.broadcast(groups.where(F.col("group_size") >= hot).select(*on)), on, "left_anti").join(rest, on))
-
-
 def _grouped(docs: DataFrame, digests: bool = False) -> DataFrame:
     """(doc_id, size, prefix, keep_id, group_size), a row for each row of docs; with its text's SHA-256 in full, if asked for."""
     work = Workspace(docs.sparkSession, "exact-dedup")
@@ -49,7 +39,7 @@ def _grouped(docs: DataFrame, digests: bool = False) -> DataFrame:
     full = work.write(survivors.select("doc_id", "size", "prefix", "full" if digests else digest), "full")
     groups = work.write(full.groupBy("full", "size").agg(F.max("doc_id").alias("keep_id"), F.count("*").cast("long").alias("group_size")), "groups")
     alone = cheap.join(broadcast_if_small(pairs), ["size", "prefix"], "left_anti").select("doc_id", "size", "prefix", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), *(["full"] if digests else []))
-    return alone.unionByName(_join_groups(full, groups, ["full", "size"]).select(*alone.columns))
+    return alone.unionByName(join_groups(full, groups, ["full", "size"], "group_size", hot=HOT_ROWS).select(*alone.columns))
 
 
 def exact_duplicates(docs: DataFrame, digests: bool = False) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import Workspace, bound_batches, broadcast_if_small, release_memory, tidy
+from .storage import Workspace, bound_batches, broadcast_if_small, join_groups, release_memory, tidy
 from .textbytes import arrow_texts, mix, set_id, shingle_sets
 
 TABLE_TOKENS = 1 << 20
@@ -347,15 +347,16 @@ def _links(spark: SparkSession, work: Workspace, texts: DataFrame, nodes: DataFr
     buckets = _power_of_two(total * 0.3 / BUCKET_TOKENS)
     index = work.write(texts.mapInArrow(tidy(_index_pieces(width, buckets, table, num, den)), "bucket int, keys binary, sids binary"), "index")
     singles = work.write(index.where("bucket >= 0").groupBy("bucket").applyInArrow(_tidy_group(_index_merge), "key long, a long, b long"), "singles")
-    combos = index.where("bucket < 0").select("keys", "sids").mapInArrow(_unpack, "key long, sid long").distinct()
-    hubs = combos.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    combos = work.write(index.where("bucket < 0").select("keys", "sids").mapInArrow(_unpack, "key long, sid long").distinct(), "combos")
+    shared = work.write(combos.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     to_node = nodes.select("sid", "node", "n")
-    members = combos.join(hubs, "key").select("key", "sid").union(singles.where("key <> 0").select("key", F.col("a").alias("sid")))
+    members = join_groups(combos, shared, ["key"], "c", "left_semi").select("key", "sid").union(singles.where("key <> 0").select("key", F.col("a").alias("sid")))
     members = work.write(members.join(to_node, "sid").select("key", "node", "n"), "members")
-    work.drop("index")
+    work.drop("index"), work.drop("combos"), work.drop("shared")
 
-    hub = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h")).select("key", F.col("h.node").alias("a"), F.col("h.n").alias("na"))
-    near = members.join(hub, "key").where("node <> a").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
+    # an entry that many sets share meets its hub by a broadcast
+    hub = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"), F.count("*").alias("c")).select("key", F.col("h.node").alias("a"), F.col("h.n").alias("na"), "c")
+    near = join_groups(members, work.write(hub, "hubs"), ["key"], "c").where("node <> a").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
     x, y = (to_node.toDF(f"s{k}", f"d{k}", f"n{k}") for k in "xy")
     few = singles.where("key = 0").join(x, F.col("a") == F.col("sx")).join(y, F.col("b") == F.col("sy"))
     few = few.select(F.least("dx", "dy").alias("a"), F.greatest("dx", "dy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"))
@@ -370,11 +371,11 @@ def _links(spark: SparkSession, work: Workspace, texts: DataFrame, nodes: DataFr
     # entries whose sets are still in several components: their clusters, compared in blocks
     parts = connected_components(links, work, "first")
     placed = members.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    placed = work.write(placed.join(open_, "key", "left_semi"), "placed")
+    open_ = placed.groupBy("key").agg(F.min("component").alias("b"), F.max("component").alias("hi"), F.count("*").alias("c")).where("b < hi").select("key", "b", "c")
+    placed = work.write(join_groups(placed, work.write(open_, "open"), ["key"], "c").select("key", "node", "component", "b"), "placed")
     if placed.isEmpty():
         return links
-    star = placed.join(placed.groupBy("key").agg(F.min("component").alias("b")), "key").select(F.col("component").alias("a"), "b")
+    star = placed.select(F.col("component").alias("a"), "b")
     clusters = connected_components(star, work, "clusters").toDF("component", "cluster")
     # all sets of the components that meet in an open entry, as far as they are in open entries
     open_nodes = placed.select("node", "component").distinct().join(clusters, "component")

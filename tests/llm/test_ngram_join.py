@@ -1,6 +1,6 @@
 import random
 
-from changeloom.llm import ngram_join
+from changeloom.llm import ngram_join, storage
 from helpers import components
 
 
@@ -42,6 +42,32 @@ def test_large_groups_small_blocks(spark, monkeypatch):
     assert result(spark, rows) == components(rows)
 
 
+def test_shared_entries_meet_their_hub_by_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(storage, "HOT_ROWS", 3)
+    rows = near_copies(11, ((80, 50), (60, 30)), 10)
+    assert result(spark, rows) == components(rows)
+    monkeypatch.setattr(storage, "BROADCAST_KEYS", 1)
+    assert result(spark, rows) == components(rows)
+
+
+def test_frequent_words_make_no_candidates(spark):
+    """Texts of common words and a few own ones: no entry of the index is shared, whatever the number of texts."""
+    import numpy as np
+
+    rows = [(k, " ".join([f"c{i}" for i in range(10)] + [f"own{k}x{i}" for i in range(4)])) for k in range(400)]
+    assert set(result(spark, rows).values()) == {(10, k) for k in range(400)}
+    from changeloom.llm.storage import Workspace
+    from changeloom.llm.textbytes import arrow_texts, shingle_sets
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table = ngram_join.order_table(spark, Workspace(spark, "order"), df, 4000, 5)
+    keys = []
+    for s in shingle_sets(*arrow_texts(df.select("text").toArrow().column("text")), 5):
+        keys += [*ngram_join._index_keys(s, *table, 4, 5)]
+    _, times = np.unique(np.concatenate(keys), return_counts=True)
+    assert times.max() <= 2
+
+
 def test_order_table_too_small(spark, monkeypatch):
     """Tokens that the bounded order table has no room for count as rare; the links stay the same."""
     monkeypatch.setattr(ngram_join, "TABLE_TOKENS", 4)
