@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import Workspace, bound_batches, tidy
+from .storage import Workspace, bound_batches, fresh_name, tidy
 from .textbytes import LOWER, NON_ALNUM, arrow_texts, chunks, span_hashes, word_spans
 
 WINDOW = 8
@@ -187,16 +187,20 @@ class Benchmark:
                 yield int(first[d + 1]) - zero, items, [(x - zero, y - zero, int(starts[x]) - base, int(ends[y - 1]) - base) for x, y in spans], longest
 
 
+#: Characters that a row of the benchmark counts for beside its text, so that the number of rows is bounded too.
+ROW_CHARS = 8
+
+
 def item_parts(items: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
-    """items (item_id, text, ...) as lists of (name, text) for one automaton each, at least one; null texts have no words, rows that repeat an item_id are one item, one without item_id is named ''."""
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    """items (item_id, text, ...) as lists of (name, text) for one automaton each, at least one; null and empty texts have no words and are left out, rows that repeat an item_id are one item, one without item_id is named ''."""
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
     most = 8 * MAX_ITEM_WORDS
-    if (rows.agg(F.sum(F.length("text"))).first()[0] or 0) <= most:
+    if (rows.agg(F.sum(F.length("text") + ROW_CHARS)).first()[0] or 0) <= most:
         yield [(r[0], r[1]) for r in rows.collect()]
         return
     part, size = [], 0
     for r in rows.toLocalIterator():
-        n = len(r[1] or "")
+        n = len(r[1]) + ROW_CHARS
         if part and size + n > most:
             yield part
             part, size = [], 0
@@ -205,14 +209,13 @@ def item_parts(items: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
     yield part
 
 
-HITS = "__hits"
 HITS_TYPE = "struct<items:array<string>,spans:array<struct<x:int,y:int,a:long,b:long>>,longest:long>"
 
 
-def _hits(bench: Benchmark, batch: pa.RecordBatch) -> Iterator[tuple[int, set[str], list[Span], int]]:
-    """For each text: words, names of items, hit spans, longest match; with the hits of earlier automata, if the batch has them."""
+def _hits(bench: Benchmark, batch: pa.RecordBatch, earlier: str) -> Iterator[tuple[int, set[str], list[Span], int]]:
+    """For each text: words, names of items, hit spans, longest match; with the hits of earlier automata, if the batch has that column."""
     data, offs = arrow_texts(batch.column("text"))
-    before = batch.column(HITS) if HITS in batch.schema.names else None
+    before = batch.column(earlier) if earlier in batch.schema.names else None
     for i, (words, found, spans, longest) in enumerate(bench.matches(data, offs)):
         names = {bench.names[k] for k in found}
         old = before[i].as_py() if before is not None else None
@@ -224,13 +227,13 @@ def _hits(bench: Benchmark, batch: pa.RecordBatch) -> Iterator[tuple[int, set[st
 
 
 def _scanned(docs: DataFrame, items: DataFrame, window: int):
-    """docs with the hits of all automata but the last in HITS (no such column if there is one only), and the last, broadcast."""
+    """docs with the hits of all automata but the last in a column of a name that docs has not (none if there is one automaton only), the last one, broadcast, and that name."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
-    kind = T.StructType([*docs.schema.fields, T.StructField(HITS, T._parse_datatype_string(HITS_TYPE))])
-    hits = to_arrow_schema(kind).field(HITS).type
-    names = docs.columns
+    names, earlier = docs.columns, fresh_name(docs.columns, "__hits")
+    kind = T.StructType([*docs.schema.fields, T.StructField(earlier, T._parse_datatype_string(HITS_TYPE))])
+    hits = to_arrow_schema(kind).field(earlier).type
     parts = item_parts(items)
     part, work = next(parts), None
     for k, following in enumerate(parts):
@@ -240,15 +243,15 @@ def _scanned(docs: DataFrame, items: DataFrame, window: int):
         def run(it, held=held):
             bench = held.value
             for batch in it:
-                rows = [{"items": sorted(n), "spans": [dict(zip("xyab", s, strict=True)) for s in spans], "longest": m} if n else None for _, n, spans, m in _hits(bench, batch)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(rows, hits)], [*names, HITS])
+                rows = [{"items": sorted(n), "spans": [dict(zip("xyab", s, strict=True)) for s in spans], "longest": m} if n else None for _, n, spans, m in _hits(bench, batch, earlier)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(rows, hits)], [*names, earlier])
 
         docs = work.write(bound_batches(docs).mapInArrow(tidy(run), kind), f"part-{k}")
         held.destroy()
         if k:
             work.drop(f"part-{k - 1}")
         part = following
-    return docs, spark.sparkContext.broadcast(Benchmark(part, window))
+    return docs, spark.sparkContext.broadcast(Benchmark(part, window)), earlier
 
 
 FOUND = "doc_id long, n_words long, n_hit long, longest long, item_ids array<string>, spans array<struct<first:long,last:long>>"
@@ -260,7 +263,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW)
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower case. Null and empty texts
     have no words; a row for each row of docs, repeated ones too. Other columns are ignored.
     """
-    docs, held = _scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), items, window)
+    docs, held, earlier = _scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), items, window)
     kind = T._parse_datatype_string(FOUND)
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -269,7 +272,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW)
     def run(it):
         bench = held.value
         for batch in it:
-            out = [(w, sum(y - x for x, y, _, _ in spans), n, sorted(names), [{"first": a, "last": b} for _, _, a, b in spans]) for w, names, spans, n in _hits(bench, batch)]
+            out = [(w, sum(y - x for x, y, _, _ in spans), n, sorted(names), [{"first": a, "last": b} for _, _, a, b in spans]) for w, names, spans, n in _hits(bench, batch, earlier)]
             cols = [batch.column("doc_id"), *(pa.array([o[k] for o in out], schema.field(k + 1).type) for k in range(5))]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
@@ -281,17 +284,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
 
     A row goes if more than `most_items` items occur in it, if over `coverage` of its words are hit,
     or if a match is longer than `most_words`. Of the rest, hit spans are cut out of the text and
-    n_chars (if there) is set anew; rows without hits are passed on as they are.
+    n_chars (if there) is set anew; rows without hits, null and empty texts among them, are passed on as they
+    are, as are rows that repeat a doc_id or have none. Other columns are kept, whatever their names.
     """
     names, kind = docs.columns, docs.schema
-    docs, held = _scanned(docs, items, window)
+    docs, held, earlier = _scanned(docs, items, window)
 
     def run(it):
         bench = held.value
         for batch in it:
             data, offs = arrow_texts(batch.column("text"))
             keep, new = [], {}
-            for i, (words, found, spans, longest) in enumerate(_hits(bench, batch)):
+            for i, (words, found, spans, longest) in enumerate(_hits(bench, batch, earlier)):
                 hit = sum(y - x for x, y, _, _ in spans)
                 keep.append(len(found) <= most_items and hit <= coverage * words and not (most_words and longest > most_words))
                 if spans and keep[-1]:

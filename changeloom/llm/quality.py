@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import class_counts, pick, remainder
-from .storage import bound_batches, release_memory, tidy
+from .storage import bound_batches, fresh_name, release_memory, tidy
 from .textbytes import SPACE, arrow_texts, chunks, span_hashes, word_spans
 
 BITS = 18
@@ -169,28 +169,42 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     return model
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs (text, ...) with a column `__score` (0 to 1; null and empty texts get the score of no features)."""
+def score(docs: DataFrame, model: QualityModel, column: str | None = None) -> DataFrame:
+    """docs (text, ...) with their score (0 to 1) as a last column.
+
+    It is called `column`, or else `__score` or, if docs has that, a longer name. Null and empty texts get the
+    score of no features; rows that repeat a doc_id or have none are scored like any other.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
+    column = column or fresh_name(docs.columns, "__score")
     from pyspark.sql import types as T
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             s = held.value.score(*arrow_texts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, column])
 
-    return bound_batches(docs).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+    return bound_batches(docs).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 THRESHOLD = 0.7
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...), labels (doc_id, quality) -> (doc_id, held_out, score, predicted), a row for each row of docs."""
-    scored = score(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    """docs (doc_id, text, ...), labels (doc_id, quality, ...) -> (doc_id, held_out, score, predicted), a row for each row of docs.
+
+    Null and empty texts get the score of no features; without labels of both kinds every score is 0.5; held_out
+    is null for a row without doc_id. Other columns are ignored, whatever their names.
+    """
+    scored = score(docs.select("doc_id", "text"), train(docs, labels), "score")
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows whose score is under THRESHOLD; all columns are kept."""
-    return score(docs, train(docs, labels)).where(F.col("__score") >= THRESHOLD).drop("__score")
+    """docs without the rows whose score is under THRESHOLD; all columns are kept, whatever their names.
+
+    Null and empty texts are judged by the score of no features, so all of them stay or go; without labels of both
+    kinds every score is 0.5 and all rows go.
+    """
+    column = fresh_name(docs.columns, "__score")
+    return score(docs, train(docs, labels), column).where(F.col(column) >= THRESHOLD).drop(column)
