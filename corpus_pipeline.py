@@ -14,7 +14,7 @@ from changeloom.llm.decontaminate import decontaminate
 from changeloom.llm.exact_dedup import exact_duplicate_filter
 from changeloom.llm.ngram_join import near_duplicate_filter
 from changeloom.llm.quality import quality_filter
-from changeloom.llm.storage import Workspace
+from changeloom.llm.storage import Workspace, temporary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = work.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        with temporary():  # what a stage's operators wrote goes when its result is written
+            docs = work.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            work.drop(f"stage-{k - 1}")
     return docs
