@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import class_counts, pick, remainder
+from .sampling import class_counts, pick, remainder, within_bytes
 from .storage import bound_batches, fresh_name, release_memory, tidy
 from .textbytes import SPACE, arrow_texts, chunks, span_hashes, word_spans
 
 BITS = 18
 DIM = 8
 SAMPLE_PER_CLASS = 1500  #: labelled rows of each class to train on
+SAMPLE_BYTES = 16 << 20  #: and of so many bytes of text at most; their features take about five times as many on the driver
 EPOCHS = 8
 _KINDS = np.zeros(256, np.uint8)  # 0 other, 1 upper, 2 lower or non-ASCII, 3 digit
 _KINDS[0x41:0x5B], _KINDS[0x61:0x7B], _KINDS[0x80:], _KINDS[0x30:0x3A] = 1, 2, 2, 3
@@ -144,17 +145,18 @@ def fit(labels: np.ndarray, ids: list[np.ndarray], times: list[np.ndarray], prio
     return QualityModel(table @ (out[:, 1] - out[:, 0]), bias[1] - bias[0] + shift)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> QualityModel:
     """A model from labels (doc_id, quality) of documents whose crc32(doc_id) mod 4 is not 2.
 
-    At most about 2 * per_class labelled texts are used, chosen by a hash of doc_id; their sparse
-    features (not texts) come to the driver. Without usable labels every score is 0.5.
+    At most about 2 * per_class labelled texts, of at most `most_bytes` together, are used, chosen by a hash of
+    doc_id; their sparse features (not texts) come to the driver. Without usable labels every score is 0.5.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
     known = known.groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.max("quality").cast("int").alias("label"))
     counts = class_counts(known, "label")
     sample = pick(known, "label", counts, per_class, "of")
     texts = bound_batches(docs).select(F.col("doc_id").cast("long").alias("of"), F.col("text").cast("string").alias("text")).where("text is not null")
+    sample = within_bytes(texts, sample, 2, most_bytes)
     got = texts.join(F.broadcast(sample), "of").select("label", "text").mapInArrow(_sparse, "label int, ids binary, counts binary").toArrow()
     y = got.column("label").to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:

@@ -28,3 +28,22 @@ def pick(rows: DataFrame, label: str, counts: dict, per_class: int, key: str = "
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(share)
     even = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     return rows.where(F.col(label).isNotNull() & (even < share)).limit(int(1.5 * per_class * max(1, len(counts))) + 100)
+
+
+def within_bytes(texts: DataFrame, sample: DataFrame, classes: int, most_bytes: int) -> DataFrame:
+    """Of sample (of, label; few rows, one for each id) the rows whose texts (of, text, ...) hold at most `most_bytes` together.
+
+    Each class has its share of the bytes. Where they do not suffice, rows are taken in the order of a hash of the
+    id as far as they fit; an id with more text than the share, by a long text or by many rows, is left out. A row
+    for each sampled id comes to the driver.
+    """
+    of, label = F.col("of"), F.col("label")
+    sizes = texts.join(F.broadcast(sample), "of").groupBy("of", "label").agg(F.sum(F.octet_length("text")).alias("size"))
+    got = sizes.select("of", "label", "size", F.xxhash64("of", F.lit(23)).alias("turn")).toArrow().sort_by([("turn", "ascending"), ("of", "ascending")])
+    room, keep = {}, []
+    for key, kind, size in zip(*(got.column(c).to_pylist() for c in ("of", "label", "size")), strict=True):
+        left = room.setdefault(kind, most_bytes // max(1, classes))
+        if size <= left:
+            room[kind] = left - size
+            keep.append((key, kind))
+    return sample.sparkSession.createDataFrame(keep, sample.select(of, label).schema)

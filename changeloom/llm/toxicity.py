@@ -4,20 +4,22 @@ Categories are predicted one after the other. Each is a logistic model over the
 the probabilities of the categories before it; in training those are out-of-fold predictions (FOLDS
 folds by a hash of doc_id), so later models see earlier ones as good as they are on new texts.
 
-The sample tables label documents as toxic or not, without kinds. The chain's first categories are
-weak kinds of the toxic documents: those with a word of a kind's seed list. The last is the label.
+Labels tell documents that are toxic from others, without kinds. The chain's first categories are kinds
+found in the data: the toxic training texts in KINDS groups by the words that tell them from the others
+(k-means over their presence). The last category is the label.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import class_counts, pick, remainder
+from .sampling import class_counts, pick, remainder, within_bytes
 from .storage import bound_batches, release_memory
 from .textbytes import LOWER, NON_ALNUM, arrow_texts, chunks, mix, span_hashes, word_spans
 
@@ -28,14 +30,12 @@ MOST_WORDS = 512  #: features of a model: the words that tell its category best
 LEAST_Z = 4.5
 LEAST_RATIO = 4.0  #: of a feature's shares in both classes; others only tell long texts from short ones
 THRESHOLD = 0.5
-#: Seed words of the weak kinds.
-KINDS = (("insult", ("loser", "idiot", "scum", "moron", "trash", "clown")), ("contempt", ("pathetic", "worthless", "disgusting", "stupid")))
-CATEGORIES = (*(k for k, _ in KINDS), "toxic")
-
-
-def _hash_words(words: tuple[str, ...]) -> np.ndarray:
-    data, offs = arrow_texts(pa.array(words, pa.string()))
-    return span_hashes(data, offs[:-1], offs[1:])
+KINDS = 2
+KIND_WORDS = 64  #: words by which the toxic texts are grouped
+CATEGORIES = (*(f"kind{k + 1}" for k in range(KINDS)), "toxic")
+SAMPLE_BYTES = 24 << 20  #: of text to train on, at most; its features take about three times as many on the driver
+MOST_STEPS = 100
+TOLERANCE = 1e-4
 
 
 def word_sets(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
@@ -89,8 +89,8 @@ class Table:
         self.at = (np.cumsum(often) - 1)[at[keep]]
         self.flat = flat[keep]
 
-    def fit(self, more: np.ndarray, y: np.ndarray, rows: np.ndarray) -> Linear:
-        """A model from the texts in the mask `rows`."""
+    def telling(self, y: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the words whose shares in both classes of the texts in `rows` differ clearly, the most telling first, and how much."""
         mine = rows[self.text]
         at, label = self.at[mine], y[self.text[mine]]
         n1, n0 = max(1, y[rows].sum()), max(1, (1 - y[rows]).sum())
@@ -99,22 +99,73 @@ class Table:
         z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n1 + 1 / n0))
         ratio = (c1 / n1 + 1e-6) / (c0 / n0 + 1e-6)
         good = np.flatnonzero((np.abs(z) >= LEAST_Z) & (np.maximum(ratio, 1 / ratio) >= LEAST_RATIO))
-        good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:MOST_WORDS]])
+        good = good[np.argsort(-np.abs(z[good]).round(9), kind="stable")]
+        return good, z[good]
+
+    def fit(self, more: np.ndarray, y: np.ndarray, rows: np.ndarray) -> Linear:
+        """A model from the texts in the mask `rows`."""
+        good = np.sort(self.telling(y, rows)[0][:MOST_WORDS])
         words = self.words[good]
-        x = np.hstack([_present(self.flat, self.text, self.n, words), more, np.ones((self.n, 1))])[rows]
-        w, penalty, goal = np.zeros(x.shape[1]), np.full(x.shape[1], 1.0), y[rows]
-        penalty[-1] = 1e-6
-        x = x.astype(np.float32)
-        for _ in range(8):  # Newton's method with a ridge
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-            h = (x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x + np.diag(penalty)
-            step = np.linalg.solve(h, x.T @ (goal - p) - penalty * w)
-            w += step
-            if np.abs(step).max() < 1e-3:
-                break
+        x = np.hstack([_present(self.flat, self.text, self.n, words), more, np.ones((self.n, 1))])[rows].astype(np.float32)
+        w = ridge(x, y[rows])
         k = len(words)
         return Linear(words, w[:k], w[k:-1], float(w[-1]))
 
+    def kinds(self, toxic: np.ndarray) -> np.ndarray:
+        """(texts, KINDS) of 0 and 1: each toxic text with a telling word is of one kind.
+
+        The groups begin with the texts of the most telling word, and of the one that is least often in the same texts
+        as those before; then each text goes to the group whose mean it is nearest to, by cosine, until none moves.
+        """
+        out = np.zeros((self.n, KINDS))
+        good, z = self.telling(toxic.astype(float), np.ones(self.n, bool))
+        good = good[z > 0][:KIND_WORDS]
+        x = _present(self.flat, self.text, self.n, self.words[np.sort(good)])[:, np.argsort(np.argsort(good))]
+        mine = np.flatnonzero(toxic & x.any(1))
+        if not len(mine):
+            return out
+        x = x[mine] / np.linalg.norm(x[mine], axis=1, keepdims=True)
+        has = x > 0
+        first = [0]
+        while len(first) < KINDS:
+            together = (has & has[:, first].any(1)[:, None]).sum(0) / has.sum(0)
+            first.append(int(np.argmin(together.round(9))))
+        centre = np.stack([x[has[:, f]].mean(0) for f in first])
+        group = None
+        for _ in range(MOST_STEPS):
+            near = (x @ (centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)).T).round(9).argmax(1)
+            if group is not None and (near == group).all():
+                break
+            group = near
+            centre = np.stack([x[group == k].mean(0) if (group == k).any() else centre[k] for k in range(KINDS)])
+        out[mine, group] = 1
+        return out
+
+
+def ridge(x: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Weights of a logistic model with a ridge, the last column's is free; Newton steps, halved until the loss falls, to convergence or an error."""
+    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], 1.0)
+    penalty[-1] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        z = (x @ w.astype(np.float32)).astype(float)
+        return float((np.logaddexp(0, z) - goal * z).sum() + 0.5 * (penalty * w * w).sum())
+
+    now = loss(w)
+    for _ in range(MOST_STEPS):
+        p = 1 / (1 + np.exp(-np.clip((x @ w.astype(np.float32)).astype(float), -50, 50)))
+        h = (x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(h, ((goal - p).astype(np.float32) @ x) - penalty * w)
+        for _ in range(30):
+            then = loss(w + step)
+            if then <= now + 1e-5 * max(1.0, abs(now)):
+                break
+            step = step / 2
+        w, now = w + step, then
+        if np.abs(step).max() < TOLERANCE:
+            return w
+    raise RuntimeError("the fit did not converge")
+
 
 class Chain:
     def __init__(self, models: list[Linear]):
@@ -129,12 +180,13 @@ class Chain:
         return out
 
 
-def fit_chain(sets: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> Chain:
-    """labels (texts, categories) of 0 and 1; fold: each text's fold."""
+def fit_chain(sets: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray, kinds: np.ndarray | None = None) -> Chain:
+    """toxic: 0 or 1 of each text; fold: each text's fold; kinds (texts, n) of 0 and 1, found in the data if not given."""
     table, every = Table(sets), np.ones(len(sets), bool)
-    models, earlier = [], np.zeros((len(sets), labels.shape[1]))
+    labels = np.hstack([table.kinds(toxic.astype(bool)) if kinds is None else kinds, toxic[:, None]]).astype(float)
+    models, earlier = [], np.zeros(labels.shape)
     for k in range(labels.shape[1]):
-        y, more = labels[:, k].astype(float), earlier[:, :k]
+        y, more = labels[:, k], earlier[:, :k]
         models.append(table.fit(more, y, every))
         for f in range(FOLDS if k + 1 < labels.shape[1] else 0):
             own = fold == f
@@ -144,8 +196,15 @@ def fit_chain(sets: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> C
     return Chain(models)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Chain | None:
-    """A chain from labels (doc_id, toxic) of documents whose crc32(doc_id) mod 4 is not 2: at most about 2 * per_class of them, chosen by a hash of doc_id. None without labels."""
+def fold_of(doc_id: int) -> int:
+    return crc32(b"fold" + str(doc_id).encode()) % FOLDS
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> Chain | None:
+    """A chain from labels (doc_id, toxic) of documents whose crc32(doc_id) mod 4 is not 2. None without labels.
+
+    Trained on at most about 2 * per_class texts of at most `most_bytes` together, chosen by a hash of doc_id.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
     known = known.groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.max("toxic").cast("int").alias("label"))
     sample = pick(known, "label", class_counts(known, "label"), per_class, "of")
@@ -156,26 +215,22 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
             yield pa.RecordBatch.from_arrays([batch.column("of"), batch.column("label"), pa.array(blobs, pa.binary())], ["of", "label", "words"])
 
     texts = bound_batches(docs).select(F.col("doc_id").cast("long").alias("of"), F.col("text").cast("string").alias("text")).where("text is not null")
+    sample = within_bytes(texts, sample, 2, most_bytes)
     got = texts.join(F.broadcast(sample), "of").mapInArrow(run, "of long, label int, words binary").toArrow().sort_by("of")
     sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in got.column("words")]
     if not sets:
         return None
-    toxic = got.column("label").to_numpy().astype(bool)
-    kinds = [toxic & np.array([np.isin(_hash_words(seeds), s).any() for s in sets]) for _, seeds in KINDS]
-    from zlib import crc32
-
-    fold = np.array([crc32(b"fold" + str(d).encode()) % FOLDS for d in got.column("of").to_pylist()])
-    chain = fit_chain(sets, np.stack([*kinds, toxic], 1), fold)
+    chain = fit_chain(sets, got.column("label").to_numpy().astype(int), np.array([fold_of(d) for d in got.column("of").to_pylist()]))
     del got, sets
     release_memory()
     return chain
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs (doc_id, text, ...), labels (doc_id, toxic) -> (doc_id, p_insult, p_contempt, p_toxic, toxic int), a row for each row of docs.
+    """docs (doc_id, text, ...), labels (doc_id, toxic) -> (doc_id, p_kind1, p_kind2, p_toxic, toxic int), a row for each row of docs.
 
-    Null and empty texts have no words and get the probabilities of such texts; without labels all are 0.
-    Other columns are ignored.
+    Null and empty texts have no words and get the probabilities of such texts; without labels all are 0. Rows
+    that repeat a doc_id or have none are scored like any other. Other columns are ignored, whatever their names.
     """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     names = [f"p_{c}" for c in CATEGORIES]
