@@ -288,7 +288,8 @@ def stream_latest(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     known = spark.conf.get("spark.checkpoint.dir", None)
     root = (known or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    return streams.drain(streams.read_changes(spark, sf_dir, schema, to_changes, "events.parquet"), f"{root}/stream-{uuid.uuid4().hex}")
+    log = streams.read_changes(spark, sf_dir, schema, lambda events: to_changes(events).select("key", "value", "is_delete", "seq"), "events.parquet")
+    return streams.drain(log, f"{root}/stream-{uuid.uuid4().hex}")
 
 
 def _state_of(table: str, key: str, seq: str, value: str, deleted: str, sql_key: str):

@@ -26,12 +26,12 @@ def readable(log: DataFrame) -> DataFrame:
     A bad record in an earlier file is an error, raised when the plan runs; a torn tail of the last
     file is what a crash leaves, and ends the log.
     """
-    bad = log.groupBy("wal_id").agg(F.min(F.when(~F.col("checksum_ok"), F.col("seq"))).alias("bad"))
-    last = log.agg(F.max("wal_id").alias("last"))  # a row per file, and one row
-    joined = log.join(F.broadcast(bad), "wal_id").join(F.broadcast(last))
-    early = F.col("bad").isNotNull() & (F.col("wal_id") < F.col("last"))
-    checked = F.when(early, F.raise_error(F.concat(F.lit("bad record in log file "), F.col("wal_id").cast("string")))).otherwise(F.col("bad"))
-    return joined.where(checked.isNull() | (F.col("seq") < checked)).drop("bad", "last")
+    place = F.struct("wal_id", "seq")
+    ends = log.agg(F.min(F.when(~F.col("checksum_ok"), place)).alias("__bad"), F.max("wal_id").alias("__last"))  # one row
+    at = F.col("__bad")
+    early = F.raise_error(F.concat(F.lit("bad record in log file "), at["wal_id"].cast("string")))
+    kept = F.when(at["wal_id"] < F.col("__last"), early.cast("boolean")).otherwise(at.isNull() | (place < at))
+    return log.crossJoin(F.broadcast(ends)).where(kept).select(*log.columns)
 
 
 def replay(ops: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import record_size
+from .ranges import bounds, range_of
 from .state import drop_deleted, newest
 
 L0_TRIGGER = 4  #: runs in level 0 that start a compaction
@@ -39,24 +40,46 @@ def sparse_index(runs: DataFrame, every: int = 2) -> DataFrame:
     return rows.where((F.col("rn") - 1) % every == 0).select("segment_id", "key", "offset")
 
 
-def sparse_floor(index: DataFrame, wanted: DataFrame) -> DataFrame:
+#: Up to so many runs are broadcast.
+BROADCAST_RUNS = 100_000
+
+
+def sparse_floor(index: DataFrame, wanted: DataFrame, ranges: int | None = None) -> DataFrame:
     """(segment_id, key, offset) for each wanted key and run: the offset of the greatest indexed key <= key, -1 if there is none.
 
-    An as-of join without a range join: wanted keys and index entries of a run are sorted together and
-    the last offset before each key is carried forward.
+    An as-of join without a range join: in each key range of each run, wanted keys and index entries are sorted
+    together and the last offset before each key is carried forward; what earlier ranges of the run end with is
+    carried into the next ones, a row for each. So a task has one range of one run, however many keys are asked for.
     """
+    ranges = ranges or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts, kind = bounds(index, ranges), index.schema["key"].dataType
     segments = index.select("segment_id").distinct()
-    asked = wanted.select("key").distinct().join(F.broadcast(segments)).select("segment_id", "key", F.lit(None).cast("long").alias("offset"), F.lit(1).alias("asked"))
-    both = index.select("segment_id", "key", "offset", F.lit(0).alias("asked")).unionByName(asked)
-    w = Window.partitionBy("segment_id").orderBy("key", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("offset", F.coalesce(F.last("offset", ignorenulls=True).over(w), F.lit(-1)))
-    return found.where("asked = 1").select("segment_id", "key", "offset")
-
-
-def interval_prune(keys: DataFrame, runs: DataFrame) -> DataFrame:
-    """(key, segment_id, level) of the runs whose [min_key, max_key] holds the key. The manifest side is a row per run."""
+    few = segments.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
+    keys = wanted.select("key").where("key is not null").distinct()
+    asked = keys.crossJoin(F.broadcast(segments) if few else segments)  # the result has a row for each
+    entries = index.select("segment_id", "key", "offset", F.lit(0).alias("asked"))
+    both = entries.unionByName(asked.select("segment_id", "key", F.lit(None).cast("long").alias("offset"), F.lit(1).alias("asked"))).withColumn("range", range_of(F.col("key"), kind, cuts))
+    ends = both.groupBy("segment_id", "range").agg(F.max_by("offset", F.when(F.col("asked") == 0, F.col("key"))).alias("end"))
+    before = Window.partitionBy("segment_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("segment_id", "range", F.last("end", ignorenulls=True).over(before).alias("carry"))
+    w = Window.partitionBy("segment_id", "range").orderBy("key", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("offset", F.last("offset", ignorenulls=True).over(w)).where("asked = 1")
+    return found.join(carried, ["segment_id", "range"]).select("segment_id", "key", F.coalesce("offset", "carry", F.lit(-1)).cast("long").alias("offset"))
+
+
+def interval_prune(keys: DataFrame, runs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(key, segment_id, level) of the runs whose [min_key, max_key] holds the key.
+
+    Keys are cut into ranges at the runs' least keys, and a run stands in each range that it reaches, so the join is
+    one on the range's number; only runs and keys of one range are compared.
+    """
+    ranges = ranges or 4 * int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts, kind = bounds(runs, ranges, "min_key"), runs.schema["min_key"].dataType
+    first, last = (range_of(F.col(c), kind, cuts) for c in ("min_key", "max_key"))
+    spread = runs.where("min_key <= max_key").select("segment_id", "level", "min_key", "max_key", F.explode(F.sequence(first, last)).alias("range"))
+    asked = keys.select("key").distinct().withColumn("range", range_of(F.col("key"), kind, cuts))
     hit = (F.col("min_key") <= F.col("key")) & (F.col("key") <= F.col("max_key"))
-    return keys.select("key").distinct().join(F.broadcast(runs.select("segment_id", "level", "min_key", "max_key")), hit).select("key", "segment_id", "level")
+    return asked.join(spread, "range").where(hit).select("key", "segment_id", "level")
 
 
 def overlapping(runs: DataFrame, strict: bool = False) -> DataFrame:
@@ -98,13 +121,16 @@ def merge_stats(rows: DataFrame) -> DataFrame:
 
 
 def _fold(threshold: int):
-    """The greedy rule over rows in key order: a new part if the open one is not empty and would get over the threshold."""
+    """The greedy rule over rows in order of range and key: a new part if the open one is not empty and would get over the threshold; each range begins anew."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = offset = 0
+        own = None
         for frame in frames:
             parts, offsets = [], []
-            for size in frame["size"].tolist():
+            for at, size in zip(frame["range"].tolist(), frame["size"].tolist(), strict=True):
+                if at != own:
+                    own, part, offset = at, 0, 0
                 if offset and offset + size > threshold:
                     part, offset = part + 1, 0
                 parts.append(part)
@@ -115,7 +141,10 @@ def _fold(threshold: int):
     return run
 
 
-_SPLIT = "{}, size long, part int, offset long"
+def _split(rows: DataFrame, threshold: int, at: Column, tasks: int) -> DataFrame:
+    kind = rows.schema["key"].dataType.simpleString()
+    sized = rows.select("key", record_size(F.col("key"), F.col("value"), F.col("is_delete")).alias("size"), at.alias("range"))
+    return sized.repartition(tasks, "range").sortWithinPartitions("range", "key").mapInPandas(_fold(threshold), f"key {kind}, size long, range int, part int, offset long")
 
 
 def split(rows: DataFrame, threshold: int) -> DataFrame:
@@ -124,16 +153,13 @@ def split(rows: DataFrame, threshold: int) -> DataFrame:
     Where a part ends depends on all rows before it, so one task streams the (key, size) pairs in key
     order, in constant memory. `split_in_ranges` cuts in parallel, with a cut at each range's edge.
     """
-    sized = rows.select("key", record_size(F.col("key"), F.col("value"), F.col("is_delete")).alias("size"))
-    kind = rows.schema["key"].dataType.simpleString()
-    return sized.repartitionByRange(1, "key").sortWithinPartitions("key").mapInPandas(_fold(threshold), _SPLIT.format(f"key {kind}"))
+    return _split(rows, threshold, F.lit(0), 1).drop("range")
 
 
-def split_in_ranges(rows: DataFrame, threshold: int, ranges: int) -> DataFrame:
-    """The same within each of `ranges` key ranges, as tasks of their own: (range, key, size, part, offset)."""
-    sized = rows.select("key", record_size(F.col("key"), F.col("value"), F.col("is_delete")).alias("size")).repartitionByRange(ranges, "key").sortWithinPartitions("key")
-    kind = rows.schema["key"].dataType.simpleString()
-    return sized.mapInPandas(_fold(threshold), _SPLIT.format(f"key {kind}")).withColumn("range", F.spark_partition_id())
+def split_in_ranges(rows: DataFrame, threshold: int, ranges: int, cuts: list | None = None) -> DataFrame:
+    """The same within each of `ranges` key ranges, in tasks of their own: (key, size, range, part, offset); the ranges begin at `cuts`, ascending, if given."""
+    cuts = bounds(rows, ranges) if cuts is None else cuts
+    return _split(rows, threshold, range_of(F.col("key"), rows.schema["key"].dataType, cuts), max(1, len(cuts) + 1))
 
 
 def new_layout(old: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:

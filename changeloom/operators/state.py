@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import bounds, free_name, range_of
+
 
 def newest(log: DataFrame, *keys: str, order: tuple[str, ...] = ("seq",)) -> DataFrame:
     """The newest version of each key, deletions included; `order` is not null and differs between a key's versions.
@@ -26,8 +28,9 @@ def newest(log: DataFrame, *keys: str, order: tuple[str, ...] = ("seq",)) -> Dat
     keys = keys or ("key",)
     rest = [c for c in log.columns if c not in keys]
     version = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    best = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("__top"))
-    return best.select(*(F.col(c) if c in keys else F.col(f"__top.{c}").alias(c) for c in log.columns))
+    top = free_name(log, "__top")
+    best = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias(top))
+    return best.select(*(F.col(c) if c in keys else F.col(f"{top}.{c}").alias(c) for c in log.columns))
 
 
 def drop_deleted(rows: DataFrame) -> DataFrame:
@@ -75,13 +78,14 @@ def ordered(state: DataFrame) -> DataFrame:
 
 
 def with_position(state: DataFrame, parts: int | None = None) -> DataFrame:
-    """state with `pos`, the 1-based rank of its (distinct) key, without moving all rows to one task: rows are ranked within ranges, whose few sizes are added up."""
+    """state with `pos`, the 1-based rank of its (distinct) key, without moving all rows to one task: rows are ranked within key ranges of fixed bounds, whose few sizes are added up."""
     parts = parts or int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = state.repartitionByRange(parts, "key").sortWithinPartitions("key").withColumn("__m", F.monotonically_increasing_id())
-    rows = rows.withColumn("__p", F.shiftright("__m", 33))
-    sizes = rows.groupBy("__p").agg(F.count("*").alias("__c"))  # a row per partition
-    before = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__b"))
-    return rows.join(F.broadcast(before), "__p").withColumn("pos", F.col("__b") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__p", "__m", "__b")
+    cuts, own = bounds(state, parts), free_name(state, "__range")
+    rows = state.withColumn(own, range_of(F.col("key"), state.schema["key"].dataType, cuts))
+    sizes = rows.groupBy(own).agg(F.count("*").alias("__count"))  # a row per range
+    before = sizes.select(own, (F.sum("__count").over(Window.orderBy(own)) - F.col("__count")).alias("__before"))
+    ranked = rows.withColumn("pos", F.row_number().over(Window.partitionBy(own).orderBy("key")).cast("long"))
+    return ranked.join(F.broadcast(before), own).select(*state.columns, (F.col("__before") + F.col("pos")).alias("pos"))
 
 
 def as_of(log: DataFrame, seq: int) -> DataFrame:

@@ -155,3 +155,60 @@ def test_stream_folds_in_batches(spark, tmp_path):
         spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(f"{tmp_path}/in/x={k}")
     stream = spark.readStream.schema(LOG).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     assert [(r.key, r.value) for r in changes.drain(stream, f"{tmp_path}/ckpt").collect()] == [("a", "2")]
+
+
+def test_stream_merges_its_runs(spark, tmp_path, monkeypatch):
+    from changeloom.streaming import changes
+
+    monkeypatch.setattr(changes, "MERGE_BATCHES", 2)
+    for k in range(5):
+        spark.createDataFrame([("a", str(k), False, 10 - k), (f"k{k}", "x", k == 3, k)], LOG).coalesce(1).write.parquet(f"{tmp_path}/in/x={k}")
+    read = lambda: spark.readStream.schema(LOG).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = lambda: sorted((r.key, r.value, r.seq) for r in changes.drain(read(), f"{tmp_path}/state").collect())
+    want = [("a", "0", 10), ("k0", "x", 0), ("k1", "x", 1), ("k2", "x", 2), ("k4", "x", 4)]
+    assert got() == want
+    import os
+
+    runs = [d for d in os.listdir(f"{tmp_path}/state/runs") if not d.startswith(".")]
+    assert len(runs) <= 2 and any(d.startswith("merged-") for d in runs)
+    spark.createDataFrame([("a", None, True, 99)], LOG).coalesce(1).write.parquet(f"{tmp_path}/in/x=9")
+    assert got() == want[1:]
+    # a batch that is run again counts once
+    fold = changes.Fold(spark, f"{tmp_path}/again")
+    rows = spark.createDataFrame([("a", "1", False, 1)], LOG)
+    for _ in range(3):
+        fold.apply(rows, 0)
+    assert fold.log(rows.schema).count() == 1
+
+
+def test_ranges(spark):
+    from changeloom.operators import ranges
+
+    keys = [f"k{i:03d}" for i in range(300)]
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    cuts = ranges.bounds(df, 8)
+    assert cuts == sorted(set(cuts)) and 4 <= len(cuts) <= 7 and ranges.bounds(df.repartition(3), 8) == cuts
+    got = {r.key: r.n for r in df.select("key", ranges.range_of(F.col("key"), df.schema["key"].dataType, cuts).alias("n")).collect()}
+    assert got == {k: sum(c <= k for c in cuts) for k in keys}
+    assert ranges.bounds(df.limit(0), 8) == [] and ranges.bounds(df, 1) == []
+    assert ranges.free_name(spark.createDataFrame([(1, 2)], "`__x` int, y int"), "__x") == "__x_"
+
+
+@pytest.mark.parametrize("kind", ["string", "binary"])
+def test_floor_and_prune_over_many_ranges(spark, kind):
+    import random
+
+    rnd = random.Random(4)
+    cast = lambda df, *cs: df.select(*(F.col(c).cast(kind).alias(c) if c in cs else F.col(c) for c in df.columns))
+    entries = sorted({(s, f"k{rnd.randrange(400):03d}") for s in range(3) for _ in range(40)} | {(7, "k200")})
+    index = cast(spark.createDataFrame([(s, k, i) for i, (s, k) in enumerate(entries)], "segment_id long, key string, offset long"), "key")
+    asked = [f"k{i:03d}" for i in range(0, 400, 3)]
+    got = {(r.segment_id, r.key if kind == "string" else bytes(r.key).decode()): r.offset for r in runs.sparse_floor(index, cast(spark.createDataFrame([(k,) for k in asked], "key string"), "key"), 9).collect()}
+    want = {(s, k): max([i for i, (t, e) in enumerate(entries) if t == s and e <= k], default=-1) for s in (0, 1, 2, 7) for k in asked}
+    assert got == want
+    spans = [(i, i % 2, *sorted((f"k{rnd.randrange(400):03d}", f"k{rnd.randrange(400):03d}"))) for i in range(60)]
+    m = cast(spark.createDataFrame([(*s, 1, 1) for s in spans], META), "min_key", "max_key")
+    plan = runs.interval_prune(cast(spark.createDataFrame([(k,) for k in asked], "key string"), "key"), m, 9)
+    assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
+    found = sorted((r.key if kind == "string" else bytes(r.key).decode(), r.segment_id) for r in plan.collect())
+    assert found == sorted((k, i) for k in asked for i, _, lo, hi in spans if lo <= k <= hi)
