@@ -8,20 +8,27 @@ Layout under the root (any file system that Spark reaches):
 
 Every commit has one version number (seq) for all of its rows, at most one row for a key. Data are
 written first, then the manifest, then CURRENT, so a reader or a crash sees whole commits only; readers
-keep the files of the version they opened until `vacuum`. Writers take a lock file; a transaction's
+keep the files of the version they opened until `vacuum`. Data are written and checks are made before a
+writer takes the lock file, which it holds for as long as it takes to publish; checks that a commit of
+another writer has overtaken are made again. A lock ends by itself, so a writer that died stops no other
+for longer than `lease_seconds`; one that lost its lock finds out before it publishes. A transaction's
 reads are validated against commits since its snapshot. Level -1 holds unflushed commits, level 0
-flushed runs, deeper levels compacted runs with disjoint ranges.
+flushed runs, deeper levels compacted runs with disjoint ranges; flushes and compactions run beside the
+writers, and give up if what they read has been replaced meanwhile.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import threading
 import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,11 +49,15 @@ class Options:
 
     flush_keys: int | None = 100_000  #: unflushed records that start a flush
     flush_bytes: int | None = 64 << 20
+    flush_files: int | None = 64  #: single commits are small files, so their number starts a flush too
     file_bytes: int = 128 << 20  #: aimed size of a run's file
     level_bytes: int = 1 << 30  #: bytes of a level that start its compaction
     l0_runs: int = run_ops.L0_TRIGGER
     compaction: bool = True
-    lock_seconds: float = 30.0
+    background: bool = True  #: maintenance in a thread of its own; else before the commit returns
+    lock_seconds: float = 60.0  #: how long a writer waits for the lock
+    lease_seconds: float = 20.0  #: how long a lock counts; it is held for a few file operations
+    staging_seconds: float = 24 * 3600.0  #: how long vacuum spares data that a writer has not published yet
 
 
 @dataclass(frozen=True)
@@ -60,6 +71,7 @@ class File:
     bytes: int
     min_seq: int
     max_seq: int
+    seq: int | None = None  #: the rows' version if it is another than the file says: a commit was overtaken while it was written
 
 
 @dataclass(frozen=True)
@@ -89,6 +101,10 @@ class Closed(RuntimeError):
     pass
 
 
+class _LostLock(RuntimeError):
+    """The lock's time was over before the version was published."""
+
+
 class _Folder:
     """Small driver-side files through Hadoop's file systems."""
 
@@ -99,30 +115,46 @@ class _Folder:
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
+    def _local(self, name: str) -> str | None:
+        """The path on this machine's file system, if the store is there: Hadoop's own local one neither creates nor replaces files in one step."""
+        uri = self.fs.makeQualified(self.path(name)).toUri()
+        return uri.getPath() if uri.getScheme() == "file" else None
+
     def read(self, name: str) -> bytes | None:
-        if not self.fs.exists(self.path(name)):
-            return None
-        stream = self.fs.open(self.path(name))
+        """None without the file."""
         try:
-            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-        finally:
-            stream.close()
+            if (local := self._local(name)) is not None:
+                with open(local, "rb") as f:
+                    return f.read()
+            stream = self.fs.open(self.path(name))
+            try:
+                return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            finally:
+                stream.close()
+        except FileNotFoundError:
+            return None
+        except Exception as e:  # noqa: BLE001  py4j wraps the file system's own error
+            if "FileNotFound" not in str(e):
+                raise
+            return None
 
     def write(self, name: str, data: bytes, overwrite: bool = True) -> None:
+        if (local := self._local(name)) is not None:
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+            with open(local, "wb" if overwrite else "xb") as f:
+                f.write(data)
+                f.flush()
+                os.fsync(f.fileno())
+            return
         out = self.fs.create(self.path(name), overwrite)
         out.write(bytearray(data))
         out.hsync()
         out.close()
 
     def create_new(self, name: str, data: bytes) -> bool:
-        """False if the file exists. Local file systems of Hadoop only look before they create, so there the operating system decides."""
-        uri = self.fs.makeQualified(self.path(name)).toUri()
+        """False if the file exists."""
         try:
-            if uri.getScheme() == "file":
-                with open(uri.getPath(), "xb") as f:
-                    f.write(data)
-            else:
-                self.write(name, data, overwrite=False)
+            self.write(name, data, overwrite=False)
         except FileExistsError:
             return False
         except Exception as e:  # noqa: BLE001  py4j wraps the file system's own error
@@ -133,6 +165,8 @@ class _Folder:
 
     def swap(self, temp: str, name: str) -> None:
         """Renames over an existing file in one step."""
+        if (local := self._local(name)) is not None:
+            return os.replace(self._local(temp), local)
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri())
         rename = self.jvm.org.apache.hadoop.fs.Options.Rename
         kinds = self.jvm.java.lang.reflect.Array.newInstance(rename.OVERWRITE.getClass(), 1)
@@ -147,6 +181,29 @@ class _Folder:
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
+    def rename(self, name: str, to: str) -> bool:
+        """False if there is no such file any more."""
+        try:
+            return self.fs.rename(self.path(name), self.path(to))
+        except Exception as e:  # noqa: BLE001  py4j wraps the file system's own error
+            if "FileNotFound" not in str(e):
+                raise
+            return False
+
+    def age(self, name: str) -> float:
+        """Seconds since the file was written, 0 without it."""
+        found = self.fs.globStatus(self.path(name)) or []
+        return max(0.0, time.time() - found[0].getModificationTime() / 1000) if len(found) else 0.0
+
+
+def _lock_of(raw: bytes | None) -> tuple[str, float] | None:
+    """(owner, when its time is over) of a lock file; None if there is none or it is not whole."""
+    try:
+        owner, until = json.loads(raw or b"")
+        return owner, float(until)
+    except (ValueError, TypeError):
+        return None
+
 
 class Store:
     """Open with `Store(spark, root)`; a root without a store becomes an empty one."""
@@ -154,14 +211,27 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, options: Options | None = None):
         self.spark, self.options, self.folder = spark, options or Options(), _Folder(spark, root)
         self._closed = False
+        self._keeper: threading.Thread | None = None
+        self._keeper_error: Exception | None = None
+        self._keeping = threading.Lock()
         if self.folder.read("CURRENT") is None:
-            self._publish(Version())
+            with self._lock() as owner:
+                if self.folder.read("CURRENT") is None:
+                    self._publish(Version(), owner)
         self.current()
 
     # --- versions
 
     def current(self) -> Version:
-        """The version that CURRENT names; a damaged pointer or manifest is an error, never an empty store."""
+        """The version that CURRENT names; a damaged pointer or manifest is an error, never an empty store. Looked for again if it is replaced at this moment."""
+        for _ in range(3):
+            try:
+                return self._named()
+            except ValueError:
+                time.sleep(0.05)
+        return self._named()
+
+    def _named(self) -> Version:
         if self._closed:
             raise Closed("the store is closed")
         raw = self.folder.read("CURRENT")
@@ -174,35 +244,83 @@ class Store:
             raise ValueError(f"damaged manifest {number}")
         return Version.from_json(text.decode())
 
-    def _publish(self, version: Version) -> Version:
-        text = version.to_json().encode()
-        self.folder.write(f"manifest-{version.number:06d}.json", text)
+    def _publish(self, version: Version, owner: str) -> Version:
+        """Makes a version the current one; the number goes on past manifests that a dead writer left."""
+        while not self.folder.create_new(f"manifest-{version.number:06d}.json", (text := version.to_json().encode())):
+            version = replace(version, number=version.number + 1)
         temp = f"CURRENT.{uuid.uuid4().hex}"
         self.folder.write(temp, f"{version.number} {zlib.crc32(text)}".encode())
+        if not self._owns(owner):
+            self.folder.delete(temp)
+            self.folder.delete(f"manifest-{version.number:06d}.json")
+            raise _LostLock
         self.folder.swap(temp, "CURRENT")
         return version
 
+    def _owns(self, owner: str) -> bool:
+        raw = self.folder.read("LOCK")
+        held = _lock_of(raw)
+        return held is not None and held[0] == owner and held[1] > time.time()
+
+    def _end_stale_lock(self) -> None:
+        """Takes away a lock whose time is over: renamed first, as that succeeds for one only, and put back if it was another's by then."""
+        raw = self.folder.read("LOCK")
+        if raw is None:
+            return
+        held = _lock_of(raw)
+        if held[1] > time.time() if held else self.folder.age("LOCK") <= self.options.lease_seconds:
+            return
+        dead = f"LOCK.{uuid.uuid4().hex}"
+        if self.folder.rename("LOCK", dead):
+            taken = self.folder.read(dead)
+            if taken != raw and taken:
+                self.folder.create_new("LOCK", taken)
+            self.folder.delete(dead)
+
     @contextmanager
-    def _writer(self) -> Iterator[Version]:
-        """One writer at a time, by exclusive creation of a lock file."""
-        end = time.monotonic() + self.options.lock_seconds
-        while not self.folder.create_new("LOCK", uuid.uuid4().hex.encode()):
+    def _lock(self) -> Iterator[str]:
+        """One publisher at a time, by exclusive creation of a lock file."""
+        owner, end = uuid.uuid4().hex, time.monotonic() + self.options.lock_seconds
+        while not self.folder.create_new("LOCK", json.dumps([owner, time.time() + self.options.lease_seconds]).encode()):
+            self._end_stale_lock()
             if time.monotonic() > end:
                 raise TimeoutError("another writer holds the store's lock")
             time.sleep(0.02)
         try:
-            yield self.current()
+            yield owner
         finally:
-            self.folder.delete("LOCK")
+            if self._owns(owner):
+                self.folder.delete("LOCK")
+
+    def _change(self, make: Callable[[Version], Version | None], check: Callable[[Version], None] | None = None) -> Version:
+        """Publishes make(current version), or nothing if that is None; `check`, which may run jobs, has passed on the very version that is replaced."""
+        while True:
+            seen = self.current()
+            if check:
+                check(seen)
+            try:
+                with self._lock() as owner:
+                    version = self.current()
+                    if check and version.number != seen.number:
+                        continue
+                    new = make(version)
+                    return version if new is None else self._publish(new, owner)
+            except _LostLock:
+                continue
 
     # --- reading
 
     def log(self, version: Version | None = None, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
         """Changelog rows of a version in [low, high). Files outside the range are not read; within files, row groups are skipped by their statistics."""
         version = version or self.current()
-        paths = [f"{self.folder.root}/{f.path}" for f in version.files if (low is None or f.max_key >= low) and (high is None or f.min_key < high)]
-        rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
-        return state_ops.in_range(rows, low, high)
+        files = [f for f in version.files if (low is None or f.max_key >= low) and (high is None or f.min_key < high)]
+        if not files:
+            return self.spark.createDataFrame([], SCHEMA)
+        parts = []
+        for seq in sorted({f.seq or 0 for f in files}):  # 0: as the files say, which nearly all do
+            rows = state_ops.in_range(self.spark.read.schema(SCHEMA).parquet(*(f"{self.folder.root}/{f.path}" for f in files if (f.seq or 0) == seq)), low, high)
+            parts.append(rows.withColumn("seq", F.lit(seq).cast("long")) if seq else rows)
+        return reduce(DataFrame.unionByName, parts)
 
     def scan(self, low: bytes | None = None, high: bytes | None = None, version: Version | None = None) -> DataFrame:
         """(key, value, seq) of present keys in [low, high), in key order; None leaves a side open."""
@@ -312,25 +430,45 @@ class Store:
         bad = F.col("key").isNull() | F.col("key").isin(*(F.lit(k).cast("binary") for k in RESERVED_KEYS))
         rows = rows.withColumn("key", F.when(bad, F.raise_error(F.lit("invalid key")).cast("binary")).otherwise(F.col("key")))
         rows = state_ops.newest(rows, order=("__order",)).drop("__order") if order else rows
-        with self._writer() as version:
-            if batch and version.batches.get(batch[0], -1) >= batch[1]:
-                return version.last_seq
-            if check:
-                check(version)
-            seq = version.last_seq + 1
-            files = self._files(rows.withColumn("seq", F.lit(seq)), TAIL, version.next_segment, parts)
+        done = lambda version: bool(batch) and version.batches.get(batch[0], -1) >= batch[1]
+        seen = self.current()
+        if done(seen):
+            return seen.last_seq
+        if check:
+            check(seen)
+        seq = seen.last_seq + 1
+        with self._staging() as name:
+            files = self._files(rows.withColumn("seq", F.lit(seq)), TAIL, 0, parts, name)
             if not order and sum(f.n_records for f in files) > 1 and parts != 1:
-                twice = self.log(replace(version, files=tuple(files))).groupBy("key").count().where("count > 1")
+                twice = self.log(replace(seen, files=tuple(files))).groupBy("key").count().where("count > 1")
                 if not twice.isEmpty():
                     raise ValueError("several rows of one key in a commit need an order")
-            batches = {**version.batches, batch[0]: batch[1]} if batch else version.batches
-            version = self._publish(replace(version, number=version.number + 1, last_seq=seq, next_segment=version.next_segment + len(files), files=(*version.files, *files), batches=batches))
-            self._maintain(version)
-        return seq
 
-    def _files(self, rows: DataFrame, level: int, first: int, parts: int | None) -> list[File]:
+            def make(version: Version) -> Version | None:
+                if done(version):
+                    return None
+                now = version.last_seq + 1
+                new = [replace(f, segment_id=version.next_segment + k, min_seq=now, max_seq=now, seq=None if now == seq else now) for k, f in enumerate(files)]
+                batches = {**version.batches, batch[0]: batch[1]} if batch else version.batches
+                return replace(version, number=version.number + 1, last_seq=now, next_segment=version.next_segment + len(new), files=(*version.files, *new), batches=batches)
+
+            version = self._change(make, check)
+        self._maintain_soon(version)
+        return version.last_seq
+
+    @contextmanager
+    def _staging(self) -> Iterator[str]:
+        """The name of a folder for data that no version names yet; vacuum spares it while its marker is there."""
+        name = uuid.uuid4().hex
+        self.folder.write(f"staging/{name}", str(time.time() + self.options.staging_seconds).encode())
+        try:
+            yield f"data/{name}"
+        finally:
+            self.folder.delete(f"staging/{name}")
+
+    def _files(self, rows: DataFrame, level: int, first: int, parts: int | None, name: str | None = None) -> list[File]:
         """Writes rows as key-ordered files and describes each from its own rows."""
-        name = f"data/{uuid.uuid4().hex}"
+        name = name or f"data/{uuid.uuid4().hex}"
         if parts is None:
             parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ranged = rows.repartitionByRange(parts, "key") if parts > 1 else rows.coalesce(1)
@@ -342,32 +480,75 @@ class Store:
 
     # --- maintenance
 
-    def _maintain(self, version: Version) -> Version:
+    def _wants_flush(self, version: Version) -> bool:
         tail, o = [f for f in version.files if f.level == TAIL], self.options
-        if (o.flush_keys and sum(f.n_records for f in tail) >= o.flush_keys) or (o.flush_bytes and sum(f.bytes for f in tail) >= o.flush_bytes):
-            version = self._flush(version)
-            while o.compaction and (level := self._due(version)) is not None:
-                version = self._compact(version, level)
-        return version
+        over = lambda most, now: most is not None and now >= most
+        return over(o.flush_keys, sum(f.n_records for f in tail)) or over(o.flush_bytes, sum(f.bytes for f in tail)) or over(o.flush_files, len(tail))
+
+    def _wants_work(self, version: Version) -> bool:
+        return self._wants_flush(version) or (self.options.compaction and self._due(version) is not None)
+
+    def maintain(self) -> None:
+        """Flushes and compacts as long as the policies ask for it; one thread of a store at a time."""
+        with self._keeping:
+            if self._wants_flush(self.current()):
+                self._flush()
+            while self.options.compaction and (level := self._due(self.current())) is not None:
+                self._compact(level)
+
+    def _maintain_soon(self, version: Version) -> None:
+        if not self._wants_flush(version):
+            return
+        if not self.options.background:
+            return self.maintain()
+        if self._keeper is None or not self._keeper.is_alive():
+            self._keeper = threading.Thread(target=self._keep, name="store-maintenance", daemon=True)
+            self._keeper.start()
+
+    def _keep(self) -> None:
+        try:
+            while not self._closed and self._wants_work(self.current()):
+                self.maintain()
+        except Closed:
+            pass
+        except Exception as e:  # noqa: BLE001  the next wait tells
+            self._keeper_error = e
+
+    def wait(self) -> None:
+        """Until the maintenance that commits have started is over; raises what it failed with."""
+        if self._keeper is not None:
+            self._keeper.join()
+        if self._keeper_error is not None:
+            error, self._keeper_error = self._keeper_error, None
+            raise error
 
     def flush(self) -> None:
         """Unflushed commits become a run of level 0: the newest version of each key, deletions kept. No-op without any."""
-        with self._writer() as version:
-            self._flush(version)
+        with self._keeping:
+            self._flush()
 
     def _parts(self, files: list[File]) -> int:
         return max(1, -(-sum(f.bytes for f in files) // self.options.file_bytes))
 
-    def _flush(self, version: Version) -> Version:
+    def _flush(self) -> None:
+        version = self.current()
         tail = [f for f in version.files if f.level == TAIL]
-        if not tail:
-            return version
-        rows = state_ops.newest(self.log(replace(version, files=tuple(tail))))
-        return self._replace(version, tail, self._files(rows, 0, version.next_segment, self._parts(tail)))
+        if tail:
+            self._replace(tail, state_ops.newest(self.log(replace(version, files=tuple(tail)))), 0, lambda now: True)
+
+    def _replace(self, gone: list[File], rows: DataFrame, level: int, holds: Callable[[Version], bool]) -> None:
+        """The files `gone` by files of `rows`; nothing if they are not all there any more or what the rows rest on does not hold."""
+        with self._staging() as name:
+            new = self._files(rows, level, 0, self._parts(gone), name)
 
-    def _replace(self, version: Version, gone: list[File], new: list[File]) -> Version:
-        left = tuple(f for f in version.files if f not in gone)
-        return self._publish(replace(version, number=version.number + 1, next_segment=version.next_segment + len(new), files=(*left, *new)))
+            def make(version: Version) -> Version | None:
+                if not set(gone) <= set(version.files) or not holds(version):
+                    return None
+                left = tuple(f for f in version.files if f not in gone)
+                numbered = [replace(f, segment_id=version.next_segment + k) for k, f in enumerate(new)]
+                return replace(version, number=version.number + 1, next_segment=version.next_segment + len(new), files=(*left, *numbered))
+
+            self._change(make)
 
     def _due(self, version: Version) -> int | None:
         """The lowest level that needs a compaction."""
@@ -379,30 +560,37 @@ class Store:
         return None
 
     def compact(self, level: int = 0) -> None:
-        with self._writer() as version:
-            self._compact(version, level)
+        with self._keeping:
+            self._compact(level)
 
-    def _compact(self, version: Version, level: int) -> Version:
+    def _compact(self, level: int) -> None:
         """Level 0, or the first file of a deeper one, merged with what it overlaps in the next level."""
+        version = self.current()
         base = sorted((f for f in version.files if f.level == level), key=lambda f: (f.min_key, f.segment_id))
         base = base if level == 0 else base[:1]
         if not base:
-            return version
+            return
         lo, hi = min(f.min_key for f in base), max(f.max_key for f in base)
         meets = lambda f: f.max_key >= lo and f.min_key <= hi
         inputs = base + [f for f in version.files if f.level == level + 1 and meets(f)]
-        bottom = not any(f.level > level + 1 and meets(f) for f in version.files)
+        below = lambda v: {f for f in v.files if f.level > level and f not in inputs and meets(f)}
+        bottom = not below(version)
         rows = run_ops.compact(self.log(replace(version, files=tuple(inputs))), bottom)
-        return self._replace(version, inputs, self._files(rows, level + 1, version.next_segment, self._parts(inputs)))
+        # no new file of the next level overlaps, and what was the bottom still is
+        self._replace(inputs, rows, level + 1, lambda now: {f for f in below(now) if f.level == level + 1} == set() and not (bottom and below(now)))
 
     def vacuum(self) -> int:
-        """Deletes data and manifests that the current version does not need; readers of older versions must be done."""
-        with self._writer() as version:
-            keep = {f.path.split("/")[1] for f in version.files}
-            old = [f"data/{d}" for d in self.folder.list("data") if d not in keep]
-            old += [n for n in self.folder.list() if n.startswith("manifest-") and n != f"manifest-{version.number:06d}.json"]
-            for name in old:
-                self.folder.delete(name)
+        """Deletes data, manifests and markers that neither the current version nor a writer at work needs; readers of older versions must be done."""
+        # in this order nothing of a commit under way is taken for old: it is marked before it is written, and unmarked after it is published
+        data, manifests = self.folder.list("data"), [n for n in self.folder.list() if n.startswith("manifest-")]
+        marks = {n: float(self.folder.read(f"staging/{n}") or b"0") for n in self.folder.list("staging")}
+        version = self.current()
+        live = {n for n, until in marks.items() if until > time.time()}
+        keep = {f.path.split("/")[1] for f in version.files} | live
+        old = [f"data/{d}" for d in data if d not in keep] + [f"staging/{n}" for n in marks if n not in live]
+        old += [n for n in manifests if int(n[len("manifest-") :].split(".")[0]) < version.number or (not live and n != f"manifest-{version.number:06d}.json" and self.folder.age(n) > self.options.lease_seconds)]
+        for name in old:
+            self.folder.delete(name)
         return len(old)
 
     # --- snapshots and streams
@@ -414,17 +602,23 @@ class Store:
         other = Store(self.spark, path, self.options)
         if other.current().files:
             raise ValueError("a snapshot needs an empty folder")
-        files = other._files(rows, 1, 1, other._parts(list(version.files)))
-        other._publish(Version(1, version.last_seq, 1 + len(files), tuple(files), version.batches))
+        with other._staging() as name:
+            files = other._files(rows, 1, 1, other._parts(list(version.files)), name)
+            other._change(lambda now: None if now.files else Version(now.number + 1, version.last_seq, 1 + len(files), tuple(files), version.batches))
         return version.last_seq
 
     def restore(self, path: str) -> None:
         """Replaces this store's state by a snapshot's; its version numbers go on from the greater of both."""
         source = Store(self.spark, path, self.options)
         theirs = source.current()
-        with self._writer() as version:
-            files = self._files(source.log(theirs), 1, version.next_segment, self._parts(list(theirs.files)))
-            self._publish(Version(version.number + 1, max(version.last_seq, theirs.last_seq), version.next_segment + len(files), tuple(files), theirs.batches))
+        with self._staging() as name:
+            files = self._files(source.log(theirs), 1, 0, self._parts(list(theirs.files)), name)
+
+            def make(version: Version) -> Version:
+                mine = tuple(replace(f, segment_id=version.next_segment + k) for k, f in enumerate(files))
+                return Version(version.number + 1, max(version.last_seq, theirs.last_seq), version.next_segment + len(files), mine, theirs.batches)
+
+            self._change(make)
 
     def ingest(self, changes: DataFrame, checkpoint: str, name: str, order: str = "seq", trigger: dict | None = None):
         """Applies a streaming changelog (key, value, is_delete, `order`) batch by batch; each batch is one commit and counts once, also after a restart."""
@@ -436,11 +630,13 @@ class Store:
 
     def clear(self) -> None:
         """An empty state under the next version; versions go on."""
-        with self._writer() as version:
-            self._publish(replace(version, number=version.number + 1, files=()))
+        self._change(lambda version: replace(version, number=version.number + 1, files=()))
 
     def close(self) -> None:
+        """No more reads and writes; maintenance under way ends with its present step."""
         self._closed = True
+        if self._keeper is not None and self._keeper is not threading.current_thread():
+            self._keeper.join()
 
     def destroy(self) -> None:
         """Closes the store and deletes all of its files."""

@@ -309,3 +309,148 @@ def test_batches_over_flush_sizes(spark, root, flush_bytes):
     assert state(s) == {} and s.get(b"key-7") is None
     s.write(rows(spark, [(k, f"again-{k}") for k in keys]))
     assert state(Store(spark, root, opts)) == {k: f"again-{k}" for k in keys} and s.last_seq() == 3
+
+
+def test_a_dead_writers_lock_ends(spark, root):
+    """A writer that is killed while it holds the lock, at any point, stops the others for its lease only."""
+    import json
+    import time
+
+    opts = Options(flush_keys=None, flush_bytes=None, compaction=False, lease_seconds=1.0, lock_seconds=20.0)
+    s = Store(spark, root, opts)
+    s.put(b"a", b"1")
+    for left in (json.dumps(["dead", time.time() + 1.0]).encode(), b"", b"{"):
+        assert s.folder.create_new("LOCK", left)
+        s.folder.write(f"manifest-{s.current().number + 1:06d}.json", b"{")
+        began = time.monotonic()
+        s.put(b"a", b"2")
+        assert time.monotonic() - began < 15 and s.get(b"a") == b"2"
+        assert s.folder.read("LOCK") is None
+    # a lock that is alive is waited for, and not taken
+    quick = Store(spark, root, Options(lock_seconds=0.3, lease_seconds=30.0))
+    assert s.folder.create_new("LOCK", json.dumps(["alive", time.time() + 60]).encode())
+    with pytest.raises(TimeoutError):
+        quick.clear()
+    assert json.loads(s.folder.read("LOCK"))[0] == "alive"
+    s.folder.delete("LOCK")
+
+
+def test_a_killed_process_leaves_a_usable_store(spark, root, tmp_path):
+    """A process that takes the lock and is killed by the system: the next writer goes on."""
+    import signal
+    import subprocess
+    import sys
+    import time
+
+    opts = Options(flush_keys=None, flush_bytes=None, compaction=False, lease_seconds=1.5)
+    s = Store(spark, root, opts)
+    s.put(b"a", b"1")
+    code = "import json,sys,time\nopen(sys.argv[1], 'xb').write(json.dumps(['killed', time.time() + 1.5]).encode())\nprint('held', flush=True)\ntime.sleep(600)"
+    child = subprocess.Popen([sys.executable, "-c", code, f"{tmp_path}/store/LOCK"], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+    while child.stdout.readline().strip() != b"held":
+        pass
+    child.send_signal(signal.SIGKILL)
+    child.wait()
+    began = time.monotonic()
+    s.put(b"a", b"2")
+    assert state(s) == {"a": "2"} and time.monotonic() - began < 20
+
+
+def test_an_overtaken_commit_takes_the_next_version(spark, root):
+    """Data are written before the lock; another commit in between changes the order, not the result."""
+    s = Store(spark, root, QUIET)
+    files, done = s._files, []
+
+    def slow(*args, **kw):
+        out = files(*args, **kw)
+        if not done:
+            done.append(True)
+            Store(spark, root, QUIET).write(rows(spark, [("a", "first"), ("b", "first")]), parts=1)
+        return out
+
+    s._files = slow
+    assert s.write(rows(spark, [("a", "second")]), parts=1) == 2
+    assert state(s) == {"a": "second", "b": "first"}
+    assert {bytes(r.key): r.seq for r in s.scan().collect()} == {b"a": 2, b"b": 1}
+    s.flush()
+    assert state(s) == {"a": "second", "b": "first"} and all(f.seq is None for f in s.current().files)
+
+
+def test_a_lost_lock_is_found_before_publishing(spark, root):
+    s = Store(spark, root, QUIET)
+    swap, lost = s.folder.swap, []
+    write = s.folder.write
+
+    def steal(name, data, overwrite=True):
+        if name.startswith("CURRENT.") and not lost:
+            lost.append(True)
+            s.folder.delete("LOCK")  # as if its time were over and another writer had ended it
+        write(name, data, overwrite)
+
+    s.folder.write = steal
+    s.put(b"a", b"1")
+    assert lost and s.get(b"a") == b"1" and s.last_seq() == 1 and s.folder.swap == swap
+
+
+def test_small_commits_are_flushed_by_their_number(spark, root):
+    s = Store(spark, root, Options(flush_keys=None, flush_bytes=None, flush_files=3, compaction=False))
+    for k in range(7):
+        s.put(f"k{k}".encode(), b"v")
+    s.wait()
+    assert sum(f.level == -1 for f in s.current().files) < 3
+    assert len(state(s)) == 7
+
+
+def test_maintenance_runs_beside_writers(spark, root):
+    opts = Options(flush_keys=None, flush_bytes=None, flush_files=2, l0_runs=2, background=True)
+    s = Store(spark, root, opts)
+    begun, go = threading.Event(), threading.Event()
+    maintain = s.maintain
+
+    def slow():
+        begun.set()
+        go.wait(60)
+        maintain()
+
+    s.maintain = slow
+    for k in range(6):
+        s.put(f"k{k}".encode(), b"v")  # none of these waits for the maintenance
+    assert begun.is_set() and all(f.level == -1 for f in s.current().files)
+    go.set()
+    s.wait()
+    assert any(f.level >= 0 for f in s.current().files) and len(state(s)) == 6
+    s.maintain = lambda: (_ for _ in ()).throw(OSError("disk"))
+    s.put(b"x", b"1"), s.put(b"y", b"2")
+    with pytest.raises(OSError, match="disk"):
+        s.wait()
+    assert s.get(b"y") == b"2"
+
+
+def test_a_compaction_that_was_overtaken_gives_up(spark, root):
+    s = Store(spark, root, QUIET)
+    for v in ("1", "2"):
+        s.write(rows(spark, [("a", v), ("b", None if v == "2" else v)]), parts=1)
+        s.flush()
+    files, done = s._files, []
+
+    def slow(*args, **kw):
+        out = files(*args, **kw)
+        if not done:
+            done.append(True)
+            Store(spark, root, QUIET).compact(0)
+        return out
+
+    s._files = slow
+    s.compact(0)
+    assert state(s) == {"a": "2"} and len(s.current().files) == 1
+
+
+def test_vacuum_spares_what_a_writer_has_not_published(spark, root):
+    s = Store(spark, root, QUIET)
+    s.put(b"a", b"1")
+    with s._staging() as name:
+        s._files(s.log().withColumn("seq", F.lit(2).cast("long")), -1, 9, 1, name)
+        s.vacuum()
+        assert name.split("/")[1] in s.folder.list("data")
+    s.vacuum()
+    assert name.split("/")[1] not in s.folder.list("data") and s.get(b"a") == b"1"
