@@ -178,6 +178,58 @@ def segment_split(spark, sf_dir):
 
 SQL["segment_split"] = SQL["segment_split"].replace("WITH ", "WITH RECURSIVE ", 1)
 
+_CUTS = ["user-2", "user-4", "user-6", "user-8"]
+_RANGE = " + ".join(f"CAST(key >= '{c}' AS INTEGER)" for c in _CUTS)
+
+
+@query(f""", k AS (SELECT key, CAST(12 + strlen(key) + strlen(value) AS BIGINT) AS size, {_RANGE} AS "range", row_number() OVER (PARTITION BY {_RANGE} ORDER BY key) AS rn FROM state),
+          fold AS (SELECT rn, key, size, "range", 0 AS part, CAST(0 AS BIGINT) AS "offset" FROM k WHERE rn = 1
+                   UNION ALL SELECT k.rn, k.key, k.size, k."range", CASE WHEN f."offset" + f.size + k.size > {SPLIT_BYTES} THEN f.part + 1 ELSE f.part END,
+                   CASE WHEN f."offset" + f.size + k.size > {SPLIT_BYTES} THEN 0 ELSE f."offset" + f.size END FROM fold f JOIN k ON k.rn = f.rn + 1 AND k."range" = f."range")
+          SELECT key, size, CAST("range" AS INTEGER) AS "range", CAST(part AS INTEGER) AS part, "offset" FROM fold""")
+def segment_split_ranges(spark, sf_dir):
+    """The parallel form, with fixed cuts as SQL has to know them."""
+    return runs.split_in_ranges(compaction_merge(spark, sf_dir), SPLIT_BYTES, len(_CUTS) + 1, _CUTS)
+
+
+SQL["segment_split_ranges"] = SQL["segment_split_ranges"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+#: A manifest of three levels: the flushed runs, and disjoint runs by the first (level 1) and the first two (level 2) digits of the user id.
+_LEVELS = """, deep AS (SELECT 'user-' || c AS p, CAST(l AS INTEGER) AS level, 1000 * l + CAST(c AS BIGINT) AS segment_id FROM (SELECT range AS c, 1 AS l FROM range(1, 10) UNION ALL SELECT range, 2 FROM range(10, 100))),
+levels AS (SELECT segment_id, level, min_key, max_key, n_records, bytes FROM man UNION ALL
+           SELECT d.segment_id, any_value(d.level), min(key), max(key), count(*), CAST(sum(12 + strlen(key) + strlen(value)) AS BIGINT) FROM state JOIN deep d ON substr(key, 1, strlen(d.p)) = d.p GROUP BY d.segment_id)"""
+
+
+def level_manifest(spark, sf_dir) -> DataFrame:
+    own = latest_state(spark, sf_dir).where("key <> 'user-0'").withColumn("is_delete", F.lit(False))
+    whole = segment_manifest(spark, sf_dir)
+    for level, width in ((1, 6), (2, 7)):
+        at = F.substring("key", 6, level)
+        deep = own.where(F.length("key") >= width).withColumn("segment_id", 1000 * level + at.cast("long"))
+        whole = whole.unionByName(runs.manifest(deep, level=level))
+    return whole
+
+
+@query(f"{_LEVELS}, span AS (SELECT min(min_key) AS lo, max(max_key) AS hi FROM levels WHERE level = 0) SELECT segment_id, level FROM levels, span WHERE level = 0 OR (level = 1 AND max_key >= lo AND min_key <= hi)")
+def compaction_plan_levels(spark, sf_dir):
+    return runs.compaction_inputs(level_manifest(spark, sf_dir), 0).select("segment_id", "level")
+
+
+@query(f"""{_LEVELS}, base AS (SELECT * FROM levels WHERE level = 1 ORDER BY min_key, segment_id LIMIT 1)
+          SELECT segment_id, level FROM base UNION ALL SELECT l.segment_id, l.level FROM levels l, base b WHERE l.level = 2 AND l.max_key >= b.min_key AND l.min_key <= b.max_key""")
+def compaction_plan_deep(spark, sf_dir):
+    return runs.compaction_inputs(level_manifest(spark, sf_dir), 1).select("segment_id", "level")
+
+
+@query(f"{_LEVELS} SELECT level, count(*) AS n_segments, CAST(sum(bytes) AS BIGINT) AS bytes, (level = 0 AND count(*) >= 4) OR sum(bytes) >= {TRIGGER_BYTES} AS triggered FROM levels GROUP BY level")
+def compaction_trigger_levels(spark, sf_dir):
+    return runs.compaction_triggers(level_manifest(spark, sf_dir), TRIGGER_BYTES)
+
+
+@query(f"{_LEVELS} SELECT a.segment_id AS left_id, b.segment_id AS right_id FROM levels a JOIN levels b ON a.level = b.level AND a.segment_id < b.segment_id AND a.max_key >= b.min_key AND b.max_key >= a.min_key")
+def segment_overlap_levels(spark, sf_dir):
+    return runs.overlapping(level_manifest(spark, sf_dir))
+
 
 @query("""SELECT CAST(sum(c) AS BIGINT) AS n_input, CAST(sum(c - 1) AS BIGINT) AS n_duplicates, count(*) FILTER (is_delete) AS n_deleted, count(*) FILTER (NOT is_delete) AS n_output
           FROM (SELECT key, count(*) AS c, arg_max(is_delete, seq) AS is_delete FROM run GROUP BY key)""")
@@ -255,9 +307,26 @@ def record_size(spark, sf_dir):
     return _runs(spark, sf_dir).select("segment_id", "key", records.record_size(F.col("key"), F.col("value"), F.col("is_delete")).alias("size"))
 
 
-@query()
+def crc_sql(rows: str, hexed: str, columns: str, name: str) -> str:
+    """SQL text: `columns` and the CRC-32 `name` of the bytes whose hexadecimal digits are `hexed`, over `rows`; the table of remainders comes from its rule."""
+    return f"""(WITH RECURSIVE rounds AS (SELECT range AS i, 0 AS k, range AS c FROM range(256)
+            UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM rounds WHERE k < 8),
+        tab AS (SELECT list(c ORDER BY i) AS t FROM rounds WHERE k = 8), src AS (SELECT *, {hexed} AS h FROM {rows}),
+        src2 AS (SELECT *, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS b FROM src)
+        SELECT {columns}, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1])), 4294967295) AS BIGINT) AS {name} FROM src2, tab)"""
+
+
+def le_sql(number: str, size: int) -> str:
+    """SQL text: hexadecimal digits of a number's lowest `size` bytes, lowest first."""
+    digits = f"lpad(hex({number}), 16, '0')"
+    return " || ".join(f"substr({digits}, {15 - 2 * k}, 2)" for k in range(size))
+
+
+_BODY = f"{le_sql('strlen(key)', 4)} || {le_sql('strlen(value)', 4)} || hex(encode(key)) || hex(encode(value))"
+
+
+@query(f"SELECT * FROM {crc_sql('state', _BODY, 'key', 'checksum')}")
 def record_checksum(spark, sf_dir):
-    """No SQL form: DuckDB has no crc32."""
     return latest_state(spark, sf_dir).select("key", records.record_checksum(F.col("key"), F.col("value")).alias("checksum"))
 
 

@@ -54,3 +54,30 @@ def server(store: Store, host: str = "127.0.0.1", port: int = 8080) -> Threading
             pass
 
     return ThreadingHTTPServer((host, port), Handler)
+
+
+def main(args: list[str] | None = None) -> None:
+    """Serves a store until it is stopped: python -m changeloom.plans.http ROOT [--host H] [--port P]."""
+    import argparse
+
+    from pyspark.sql import SparkSession
+
+    cli = argparse.ArgumentParser(prog="changeloom.plans.http")
+    cli.add_argument("root", help="folder of the store")
+    cli.add_argument("--host", default="127.0.0.1")
+    cli.add_argument("--port", type=int, default=8080)
+    asked = cli.parse_args(args)
+    store = Store(SparkSession.builder.appName("changeloom").getOrCreate(), asked.root)
+    web = server(store, asked.host, asked.port)
+    print(f"serving {asked.root} at http://{asked.host}:{web.server_address[1]}", flush=True)
+    try:
+        web.serve_forever()
+    except KeyboardInterrupt:
+        pass
+    finally:
+        web.server_close()
+        store.close()
+
+
+if __name__ == "__main__":
+    main()

@@ -109,6 +109,88 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         raise OSError(f"cannot rename {path}.tmp")
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes files (name string, content binary) into a folder that all executors reach, each by one task: to a temporary name, then moved into place. Returns how many there were.
+
+    A task that runs again writes the same bytes under the same name.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}" if folder.startswith("/") else folder.replace("file:", "file://", 1))
+        system.create_dir(root, recursive=True)
+        for frame in frames:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                temp = f"{root}/_{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(temp) as out:
+                    out.write(bytes(content))
+                system.move(temp, f"{root}/{name}")
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    return files.select("name", "content").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def segment_files(runs: DataFrame) -> DataFrame:
+    """Runs (segment_id, key, value, is_delete) as files (name, content): records in key order. A run is bounded by the size it is split at, and one task holds one."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("key")
+        ops = [codec.Op(bytes(k), None if d else bytes(v or b""), bool(d)) for k, v, d in zip(frame["key"], frame["value"], frame["is_delete"], strict=True)]
+        return pd.DataFrame({"name": [f"segment-{int(frame['segment_id'].iloc[0]):06d}"], "content": [codec.encode_segment(ops)]})
+
+    rows = runs.select("segment_id", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "is_delete")
+    return rows.groupBy("segment_id").applyInPandas(run, "name string, content binary")
+
+
+def wal_files(commits: DataFrame) -> DataFrame:
+    """Commit records (wal_id, seq, ops: array of key, value, is_delete, ...) as log files (name, content), each in the order of seq; a log file is bounded by the size at which the log rolls."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, out = frame.sort_values("seq"), []
+        for seq, ops in zip(frame["seq"], frame["ops"], strict=True):
+            found = [codec.Op(bytes(o["key"]), None if o["is_delete"] else bytes(o["value"] or b""), bool(o["is_delete"])) for o in ops]
+            out.append(codec.encode_wal(int(seq), codec.COMMIT, codec.commit_payload(found)))
+        return pd.DataFrame({"name": [f"wal-{int(frame['wal_id'].iloc[0]):06d}"], "content": [b"".join(out)]})
+
+    ops = F.transform("ops", lambda o: F.struct(o["key"].cast("binary").alias("key"), o["value"].cast("binary").alias("value"), o["is_delete"].alias("is_delete")))
+    return commits.select("wal_id", "seq", ops.alias("ops")).groupBy("wal_id").applyInPandas(run, "name string, content binary")
+
+
+def index_files(index: DataFrame) -> DataFrame:
+    """Sparse-index entries (segment_id, key, offset) as files (name, content), one for each run."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("key")
+        entries = [codec.IndexEntry(int(s), bytes(k), int(o)) for s, k, o in zip(frame["segment_id"], frame["key"], frame["offset"], strict=True)]
+        return pd.DataFrame({"name": [f"index-{entries[0].segment_id:06d}"], "content": [codec.encode_index(entries)]})
+
+    return index.select("segment_id", F.col("key").cast("binary").alias("key"), "offset").groupBy("segment_id").applyInPandas(run, "name string, content binary")
+
+
+def manifest_file(manifest: DataFrame, number: int) -> DataFrame:
+    """A manifest (segment_id, level, min_key, max_key, file_path; a row for each run) as one file (name, content)."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["level", "segment_id"])
+        entries = [codec.SegmentMeta(int(s), int(v), bytes(a), bytes(b), p) for s, v, a, b, p in zip(*(frame[c] for c in ("segment_id", "level", "min_key", "max_key", "file_path")), strict=True)]
+        return pd.DataFrame({"name": [f"MANIFEST-{number:06d}"], "content": [codec.encode_manifest(entries)]})
+
+    rows = manifest.select("segment_id", "level", F.col("min_key").cast("binary").alias("min_key"), F.col("max_key").cast("binary").alias("max_key"), "file_path")
+    return rows.groupBy(F.lit(number).alias("number")).applyInPandas(run, "name string, content binary")
+
+
+def list_files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """(number, name, pos) of the files `kind`-NNNNNN of a folder, oldest first; a row for each file."""
+    from pyspark.sql import Window
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{kind}-*").load(folder).select("path")
+    named = files.select(number_of(F.col("path"), kind).alias("number"), F.regexp_extract("path", "([^/]+)$", 1).alias("name")).where("number is not null")
+    return named.withColumn("pos", F.row_number().over(Window.orderBy("number")).cast("long"))
+
+
 def export_segment(rows: DataFrame, path: str, limit_bytes: int = 64 << 20) -> None:
     """One run (key, value, is_delete), sorted, as a segment file; runs are size-bounded, which is checked."""
     from .codec import Op
