@@ -83,8 +83,28 @@ class ByteConvNet:
             out.append(z - np.log(np.exp(z).sum(1, keepdims=True)))
         return np.concatenate(out) if out else np.zeros((0, len(self.languages)), np.float32)
 
+    def gradients(self, x: np.ndarray, goal: np.ndarray) -> list[np.ndarray]:
+        """Of the mean cross-entropy, for each of params(); the gradient of a maximum goes to its place alone."""
+        h, ats, raw = self.pooled(x, True)
+        z = h @ self.out + self.bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(x)), goal] -= 1
+        p /= len(x)
+        gh = (p @ self.out.T) * (raw > 0)
+        grads = [np.zeros_like(self.embed), *(np.zeros_like(f) for f in self.filters), np.zeros_like(self.shift), h.T @ p, p.sum(0)]
+        for j, (width, f, at) in enumerate(zip(WIDTHS, self.filters, ats, strict=True)):
+            g = gh[:, j * FILTERS : (j + 1) * FILTERS]
+            grads[-3][j] = g.sum(0)
+            for k in range(width):
+                b = np.take_along_axis(x, at + k, 1)  # the byte under filter position k at each maximum
+                e = self.embed[b]
+                grads[1 + j][k] = np.einsum("nfe,nf->ef", e, g)
+                np.add.at(grads[0], b.ravel(), (g[:, :, None] * f[k].T[None]).reshape(-1, EMBED))
+        return grads
+
     def fit(self, w: np.ndarray, y: np.ndarray, epochs: int = 5, batch: int = 64, seed: int = 5) -> None:
-        """Adam on the cross-entropy, at least about 300 steps; the gradient of a maximum goes to its place alone."""
+        """Adam on the cross-entropy, at least about 300 steps."""
         epochs = max(epochs, min(100, 300 * batch // max(1, len(w))))
         rng, params = np.random.default_rng(seed), self.params()
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -92,22 +112,7 @@ class ByteConvNet:
             order = rng.permutation(len(w))
             for i in range(0, len(order), batch):
                 x, goal = w[order[i : i + batch]], y[order[i : i + batch]]
-                h, ats, raw = self.pooled(x, True)
-                z = h @ self.out + self.bias
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(x)), goal] -= 1
-                p /= len(x)
-                gh = (p @ self.out.T) * (raw > 0)
-                grads = [np.zeros_like(self.embed), *(np.zeros_like(f) for f in self.filters), np.zeros_like(self.shift), h.T @ p, p.sum(0)]
-                for j, (width, f, at) in enumerate(zip(WIDTHS, self.filters, ats, strict=True)):
-                    g = gh[:, j * FILTERS : (j + 1) * FILTERS]
-                    grads[-3][j] = g.sum(0)
-                    for k in range(width):
-                        b = np.take_along_axis(x, at + k, 1)  # the byte under filter position k at each maximum
-                        e = self.embed[b]
-                        grads[1 + j][k] = np.einsum("nfe,nf->ef", e, g)
-                        np.add.at(grads[0], b.ravel(), (g[:, :, None] * f[k].T[None]).reshape(-1, EMBED))
+                grads = self.gradients(x, goal)
                 t += 1
                 step = 0.004 * 0.6 ** (5 * epoch / epochs)
                 for q, g, a, c in zip(params, grads, m, v, strict=True):
@@ -189,6 +194,10 @@ def identify(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, ...) -> (doc_id, held_out boolean, lang_pred, score): learned from docs itself, held-out rows apart."""
+    """docs (doc_id, text, lang, ...) -> (doc_id, held_out boolean, lang_pred, score), a row for each row of docs: learned from docs itself, held-out rows apart.
+
+    Texts that are null or without a letter are UNKNOWN with score 0; held_out is null for a row without doc_id, from
+    which nothing is learned. Other columns are ignored, whatever their names.
+    """
     found = identify(docs, train(docs))
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")

@@ -63,3 +63,26 @@ def test_exact_dedup_query(spark, docs, tmp_path):
     texts = [(r[0], r[1] or "") for r in [*ROWS, (1, "another text of a repeated id"), (None, None)]]
     size = lambda t: sum(u == t for _, u in texts)
     assert sorted(((r.doc_id, r.group_size, r.text_sha256) for r in got), key=str) == sorted(((k, size(t), hashlib.sha256(t.encode()).hexdigest()) for k, t in texts), key=str)
+
+
+def write_tables(spark, folder, rows):
+    """The tables that the registered queries read, from odd rows."""
+    docs = spark.createDataFrame([*rows], SCHEMA).repartition(2)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    known = [(1, 1, 0, "x"), (3, 0, 1, "x"), (5, None, None, None), (None, 1, 1, None), (7, 1, 0, "x"), (7, 1, 0, "x")]
+    spark.createDataFrame(known if rows else [], "doc_id long, quality int, toxic int, text string").write.parquet(f"{folder}/labels.parquet")
+    items = [(1, "the cat sat on the mat and ran away", 1), (2, None, 2), (None, "words", 3), (4, "", 4), (1, "words again", 5)]
+    spark.createDataFrame(items if rows else [], "item_id long, text string, doc_id long").write.parquet(f"{folder}/benchmark.parquet")
+    pages = docs.selectExpr("doc_id as page_id", "source as url", "text as html", "text", "score as n_chars")
+    pages.write.parquet(f"{folder}/pages.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_every_query_on_odd_rows(spark, tmp_path_factory, name):
+    folders = [str(tmp_path_factory.mktemp("odd")) for _ in range(2)]
+    write_tables(spark, folders[0], ROWS)
+    write_tables(spark, folders[1], [])
+    got = queries.queries()[name](spark, folders[0]).collect()
+    key = "page_id" if "page_id" in got[0].asDict() else "doc_id"
+    assert sorted(str(r[key]) for r in got) == sorted(str(r[0]) for r in ROWS)
+    assert queries.queries()[name](spark, folders[1]).collect() == []

@@ -1,8 +1,11 @@
 import random
+import re
+from zlib import crc32
 
 import numpy as np
 import pytest
 from changeloom.llm import quality
+from changeloom.llm.textbytes import span_hashes
 from pyspark.sql import functions as F
 
 
@@ -57,3 +60,81 @@ def test_repeatable(frames):
     docs, labels = frames
     a, b = (quality.train(d, labels) for d in (docs, docs.repartition(5, F.col("doc_id"))))
     assert np.array_equal(a.weights, b.weights)
+
+
+def plain_features(text):
+    """Rows of the table that a text's words, shapes and byte n-grams fall on, one by one."""
+    data, rows = (text or "").encode(), []
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    fold = lambda h: (h % (1 << 64)) >> (64 - quality.BITS)
+    for i, w in enumerate(words):
+        raw = np.frombuffer(w, np.uint8)
+        rows.append(fold(int(span_hashes(raw, np.array([0]), np.array([len(w)]))[0])))
+        upper, digit = sum(65 <= c < 91 for c in w), sum(48 <= c < 58 for c in w)
+        other = len(w) - upper - digit - sum(97 <= c < 123 or c >= 128 for c in w)
+        quarter = lambda n: min(3, 4 * n // len(w))
+        shape = (((quarter(other) * 4 + quarter(upper)) * 4 + quarter(digit)) * 2 + (i > 0 and w == words[i - 1])) * 16 + min(15, len(w))
+        rows += [fold((shape + 1) * 0x9E3779B97F4A7C15), fold(((shape >> 4) + 5000) * 0x9E3779B97F4A7C15)]
+    for n in (3, 4):
+        for i in range(len(data) - n + 1):
+            h = 0
+            for c in data[i : i + n]:
+                h = (h ^ c) * (0x01000193 + 2 * n) % (1 << 32)
+            rows.append(((h ^ h >> 15) * 0x2C1B3C6D % (1 << 32)) >> (32 - quality.BITS))
+    return rows
+
+
+def plain_fit(examples, prior):
+    """The same steps text by text and row by row, in double precision."""
+    rng, size = np.random.default_rng(11), 1 << quality.BITS
+    table = ((rng.random((size, quality.DIM), np.float32) - 0.5) / quality.DIM).astype(float)
+    out, bias = np.zeros((quality.DIM, 2)), np.zeros(2)
+    seen_t, seen_o, rate = {}, np.full(out.shape, 1e-2), 0.6
+    for _ in range(quality.EPOCHS):
+        order = rng.permutation(len(examples))
+        for i in range(0, len(order), 32):
+            g_out, g_bias, g_rows = np.zeros(out.shape), np.zeros(2), {}
+            for k in order[i : i + 32]:
+                y, rows = examples[k]
+                vec = sum((table[r] for r in rows), np.zeros(quality.DIM)) / max(1, len(rows))
+                p = np.exp(vec @ out + bias)
+                p /= p.sum()
+                p[y] -= 1
+                g_out += np.outer(vec, p)
+                g_bias += p
+                for r in rows:
+                    g_rows[r] = g_rows.get(r, 0) + out @ p / len(rows)
+            seen_o += g_out**2
+            bias -= rate * 0.02 * g_bias
+            for r, g in g_rows.items():
+                seen_t[r] = seen_t.get(r, 1e-4) + (g**2).mean()
+                table[r] -= rate * g / np.sqrt(seen_t[r]) * 0.2
+            if not out.any():
+                out += rng.normal(0, 0.3, out.shape)
+            out -= rate * g_out / np.sqrt(seen_o) * 0.2
+        rate *= 0.7
+    share = np.mean([y for y, _ in examples])
+    return table @ (out[:, 1] - out[:, 0]), bias[1] - bias[0] + np.log(prior / (1 - prior)) - np.log(share / (1 - share))
+
+
+def test_against_brute_force(spark):
+    """The whole query: features, training and scores done again in plain Python."""
+    rnd = random.Random(6)
+    good, bad = ["river", "stone", "walks", "under", "Evening", "light"], ["BUY", "$$$", "now!!", "4U", "xxx", "now!!"]
+    rows = [(k, " ".join(rnd.choice(good if (k % 3 > 0) == (rnd.random() < 0.9) else bad) for _ in range(rnd.randint(3, 25))), int(k % 3 > 0)) for k in range(70)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows] + [(900, None), (901, "")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    learned = [(y, plain_features(t)) for d, t, y in rows if crc32(str(d).encode()) % 4 != 2]
+
+    def place(example):
+        ids = np.unique(np.array(example[1])).astype(np.int32)
+        return example[0], crc32(ids.tobytes()), len(ids)
+
+    weights, bias = plain_fit(sorted(learned, key=place), np.mean([y for y, _ in learned]))
+    for d, t in [*((d, t) for d, t, _ in rows), (900, None), (901, "")]:
+        own = plain_features(t)
+        want = 1 / (1 + np.exp(-(bias + sum(weights[r] for r in own) / max(1, len(own)))))
+        assert got[d].score == pytest.approx(want, abs=5e-3), d
+        assert got[d].held_out == (crc32(str(d).encode()) % 4 == 2)
+        assert got[d].predicted == int(want >= 0.7) or abs(want - 0.7) < 5e-3
