@@ -4,8 +4,9 @@ A token file set is a folder in any store that Spark reaches:
 
 * `codebook`: one row (lengths binary): the code length of each id, from counts over all documents;
 * `blocks`: one row for each block of whole documents, in ascending doc_id order by (shard, block):
-  first (ids of all documents before it), doc_ids and n_tokens (int64 and int32 arrays, little-endian),
-  checkpoints (uint16 array: bits of each segment) and bits (the coded ids).
+  ahead (ids of its shard before it), total (its ids), doc_ids and n_tokens (int64 and int32 arrays,
+  little-endian), checkpoints (uint16 array: bits of each segment) and bits (the coded ids);
+* `shards`: base, the ids of all shards before each shard.
 
 Shards are ranges of doc_id. Blocks decode independently of each other, and so do their segments.
 """
@@ -26,8 +27,9 @@ from .storage import Workspace, bound_batches
 from .textbytes import arrow_texts, chunks
 
 BLOCK_TOKENS = 1 << 16
+TEXT_BYTES = 2 << 20  #: bytes of text whose distinct pieces are looked up at once
 NO_ID = -(1 << 63)  #: stands for a missing doc_id, which comes first
-_RAW = "shard int, block long, ahead long, doc_ids binary, n_tokens binary, ids binary, total long"
+_BLOCK = "shard int, block long, ahead long, total long, doc_ids binary, n_tokens binary, checkpoints binary, bits binary"
 _loaded: dict[str, PieceCache] = {}
 
 
@@ -71,57 +73,84 @@ def _library(path: str) -> PieceCache:
 
 
 def _tokenise(path: str, end_id: int | None):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block = TaskContext.get().partitionId(), 0
-        cache = _library(path)
-        docs: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        held: list[np.ndarray] = []
-        total = ahead = 0
-
-        def flush():
-            nonlocal docs, counts, held, total, ahead, block
-            ids = np.concatenate(held)
-            row = [pa.array([shard], pa.int32()), pa.array([block], pa.int64()), pa.array([ahead], pa.int64()), *(pa.array([np.concatenate(x).astype(t).tobytes()], pa.binary()) for x, t in ((docs, "<i8"), (counts, "<i4"), (held, "<i4" if ids.max(initial=0) > 0xFFFF else "<u2"))), pa.array([total], pa.int64())]
-            docs, counts, held, total, ahead, block = [], [], [], 0, ahead + total, block + 1
-            return pa.RecordBatch.from_arrays(row, ["shard", "block", "ahead", "doc_ids", "n_tokens", "ids", "total"])
+    """Each document's ids, with a number of its own (row) that tells repeated doc_ids apart."""
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, row = _library(path), TaskContext.get().partitionId() << 40
         for batch in it:
-            ids_of = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, part, po in chunks(*arrow_texts(batch.column("text"))):
+            for i, part, po in chunks(*arrow_texts(batch.column("text")), TEXT_BYTES):
                 ids, offs = cache.ids(part, po)
                 n = np.diff(offs)
                 if end_id is not None:
                     out = np.full(len(ids) + len(n), end_id, np.int32)
                     out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
                     ids, n = out, n + 1
-                docs.append(ids_of[i : i + len(n)])
-                counts.append(n)
-                held.append(ids)
-                total += len(ids)
-                if total >= BLOCK_TOKENS:
-                    yield flush()
-        if docs:
-            yield flush()
+                flat = ids.astype("<i4" if ids.max(initial=0) > 0xFFFF else "<u2")
+                cuts = np.concatenate([[0], np.cumsum(n * flat.itemsize, dtype=np.int64)]).astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(n)), pa.array(row + np.arange(len(n))), pa.array(n.astype(np.int32)), blobs], ["doc_id", "row", "n", "ids"])
+                row += len(n)
 
     return run
 
 
-def _ids(blob: bytes, total: int) -> np.ndarray:
-    return np.frombuffer(blob, "<u2" if len(blob) == 2 * total else "<i4").astype(np.int32)
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    """The ids of a batch's documents, one after the other; each document's take two or four bytes an id."""
+    n = batch.column("n").to_numpy()
+    blobs = [np.frombuffer(b.as_buffer(), "<u2" if b.as_buffer().size == 2 * k else "<i4") for b, k in zip(batch.column("ids"), n.tolist(), strict=True)]
+    return np.concatenate(blobs).astype(np.int32) if blobs else np.zeros(0, np.int32)
 
 
 def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = np.zeros(1, np.int64)
     for batch in it:
-        for blob, total in zip(batch.column("ids").to_pylist(), batch.column("total").to_pylist(), strict=True):
-            c = np.bincount(_ids(blob, total), minlength=len(sums))
-            c[: len(sums)] += sums
-            sums = c
+        c = np.bincount(_ids(batch), minlength=len(sums))
+        c[: len(sums)] += sums
+        sums = c
     at = np.flatnonzero(sums)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["id", "c"])
 
 
+def _pack(lengths):
+    """Blocks of whole documents, in the order in which they come."""
+    names = _BLOCK.replace(",", "").split()[::2]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, shard = Codec(lengths.value), TaskContext.get().partitionId()
+        docs: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        block = total = ahead = 0
+
+        def flush():
+            nonlocal docs, counts, held, block, total, ahead
+            bits, marks = code.encode(np.concatenate(held))
+            blobs = (np.concatenate(docs).astype("<i8").tobytes(), np.concatenate(counts).astype("<i4").tobytes(), marks.astype("<u2").tobytes(), bits)
+            numbers = (pa.array([shard], pa.int32()), *(pa.array([x], pa.int64()) for x in (block, ahead, total)))
+            docs, counts, held, block, total, ahead = [], [], [], block + 1, 0, ahead + total
+            return pa.RecordBatch.from_arrays([*numbers, *(pa.array([x], pa.binary()) for x in blobs)], names)
+
+        for batch in it:
+            n = batch.column("n").to_numpy()
+            ends = np.cumsum(n, dtype=np.int64)
+            flat, of, at = _ids(batch), batch.column("doc_id").to_numpy(), 0
+            while at < len(n):
+                # up to the document that fills the block
+                before = int(ends[at - 1]) if at else 0
+                to = min(len(n), int(np.searchsorted(ends, before + BLOCK_TOKENS - total)) + 1)
+                docs.append(of[at:to])
+                counts.append(n[at:to])
+                held.append(flat[before : int(ends[to - 1])])
+                total += int(ends[to - 1]) - before
+                at = to
+                if total >= BLOCK_TOKENS:
+                    yield flush()
+        if docs:
+            yield flush()
+
+    return run
+
+
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | None = 2, work: Workspace | None = None) -> None:
     """docs (doc_id, text, ...) to a token file set in `folder`.
 
@@ -129,41 +158,29 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
     `end_id` is appended to each document. Rows without doc_id come first; rows that repeat a doc_id are
     all written, in any order. Other columns are ignored; an empty table gives a set without blocks.
     """
-    work = work or Workspace(docs.sparkSession, "token-files")
+    spark = docs.sparkSession
+    work = work or Workspace(spark, "token-files")
     # as many ranges as input splits: a shard is a task's share of the texts
     parts = max(1, docs.select("doc_id").rdd.getNumPartitions())
     rows = bound_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    raw = work.write(ordered.mapInArrow(_tokenise(path, end_id), _RAW), "raw")
-    counted = raw.select("ids", "total").mapInArrow(_counts, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()  # at most as many rows as the vocabulary has ids
+    # ids, not texts, go through the shuffle; rows of one doc_id may be in several ranges
+    coded = work.write(rows.mapInArrow(_tokenise(path, end_id), "doc_id long, row long, n int, ids binary"), "coded")
+    counted = coded.select("n", "ids").mapInArrow(_counts, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()  # at most as many rows as the vocabulary has ids
     counts = np.zeros(max(counted.column("id").to_pylist(), default=0) + 1, np.int64)
     counts[counted.column("id").to_numpy()] = counted.column("c").to_numpy()
-    codec = Codec(code_lengths(counts))
+    lengths = code_lengths(counts)
+    ordered = coded.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    blocks = ordered.select("doc_id", "n", "ids").mapInArrow(_pack(spark.sparkContext.broadcast(lengths)), _BLOCK)
+    blocks.write.mode("overwrite").option("compression", "none").parquet(f"{folder}/blocks")
     # one row for each shard, and the ids before it
-    sums = sorted((r["shard"], r["n"]) for r in raw.groupBy("shard").agg(F.sum("total").alias("n")).collect())
-    base, bases = 0, {}
+    sums = sorted((r["shard"], r["n"]) for r in spark.read.schema(_BLOCK).parquet(f"{folder}/blocks").groupBy("shard").agg(F.sum("total").alias("n")).collect())
+    base, bases = 0, []
     for shard, n in sums:
-        bases[shard], base = base, base + n
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(codec.lengths)
-    starts = spark.createDataFrame(list(bases.items()) or [(0, 0)], "of int, base long")
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Codec(held.value)
-        for batch in it:
-            bits, marks = [], []
-            for blob, total in zip(batch.column("ids").to_pylist(), batch.column("total").to_pylist(), strict=True):
-                b, m = code.encode(_ids(blob, total))
-                bits.append(b)
-                marks.append(m.astype("<u2").tobytes())
-            cols = [*(batch.column(c) for c in ("shard", "block", "first", "doc_ids", "n_tokens", "total")), pa.array(marks, pa.binary()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["shard", "block", "first", "doc_ids", "n_tokens", "total", "checkpoints", "bits"])
-
-    joined = raw.join(F.broadcast(starts), F.col("shard") == F.col("of")).withColumn("first", F.col("base") + F.col("ahead"))
-    out = joined.select("shard", "block", "first", "doc_ids", "n_tokens", "total", "ids").mapInArrow(run, "shard int, block long, first long, doc_ids binary, n_tokens binary, total long, checkpoints binary, bits binary")
-    out.write.mode("overwrite").option("compression", "none").parquet(f"{folder}/blocks")
-    spark.createDataFrame([(bytearray(codec.lengths.tobytes()),)], "lengths binary").coalesce(1).write.mode("overwrite").parquet(f"{folder}/codebook")
-    work.drop("raw")
+        bases.append((shard, base))
+        base += n
+    spark.createDataFrame(bases, "shard int, base long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/shards")
+    spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.mode("overwrite").parquet(f"{folder}/codebook")
+    work.drop("coded")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,5 +203,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 lists = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(start), pa.array(n), lists], ["doc_id", "start", "n_tokens", "ids"])
 
-    rows = spark.read.parquet(f"{folder}/blocks").mapInArrow(run, "doc_id long, start long, n_tokens int, ids binary")
+    shards = spark.read.schema("shard int, base long").parquet(f"{folder}/shards")  # a row for each task that wrote blocks
+    blocks = spark.read.schema(_BLOCK).parquet(f"{folder}/blocks").join(F.broadcast(shards), "shard")
+    blocks = blocks.select((F.col("base") + F.col("ahead")).alias("first"), "total", "doc_ids", "n_tokens", "checkpoints", "bits")
+    rows = blocks.mapInArrow(run, "doc_id long, start long, n_tokens int, ids binary")
     return rows.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
