@@ -51,9 +51,12 @@ def features(part: np.ndarray, po: np.ndarray) -> Iterator[tuple[np.ndarray, np.
     yield _fold(words), first
     if len(starts):
         kinds = _KINDS[part]
-        total = [np.concatenate([[0], np.cumsum(kinds == k)]) for k in range(4)]
         size = ends - starts
-        share = [np.minimum(3, 4 * (t[ends] - t[starts]) // size).astype(np.uint64) for t in total]
+        share = {}
+        for k in (0, 1, 3):
+            upto = np.zeros(len(part) + 1, np.int32 if len(part) < 1 << 31 else np.int64)
+            np.cumsum(kinds == k, out=upto[1:])
+            share[k] = np.minimum(3, 4 * (upto[ends] - upto[starts]).astype(np.int64) // size).astype(np.uint64)
         again = np.zeros(len(words), np.uint64)
         again[1:] = words[1:] == words[:-1]
         again[first[(first > 0) & (first < len(words))]] = 0

@@ -2,7 +2,7 @@
 
 A batch of texts is one uint8 array with document offsets. Everything here works on
 UTF-8 bytes, never splits a document and never looks past its end; batches are cut into
-chunks of a few MB so that temporaries stay small whatever the Arrow batch size.
+chunks of half a MB so that temporaries stay small whatever the Arrow batch size.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19  #: temporaries take up to about a hundred times as many and should stay near the caches
+KEPT_POWERS = 1 << 24
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
@@ -46,7 +47,7 @@ def _power(which: str, n: int) -> np.ndarray:
         base = np.full(max(n, CHUNK_BYTES + 1), _BASE if which == "up" else _BASE_INV, np.uint64)
         base[0] = 1
         have = np.multiply.accumulate(base)
-        if len(have) <= 8 * CHUNK_BYTES:
+        if len(have) <= KEPT_POWERS:
             _powers[which] = have
     return have[:n]
 
