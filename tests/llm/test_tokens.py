@@ -94,3 +94,14 @@ def test_files(spark, tmp_path, monkeypatch):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in token_files.read_token_files(spark, str(tmp_path / "o")).collect()) == [(0, 1), (0, 2), (5, 2), (5, 2)]
     token_files.write_token_files(df.limit(0), str(tmp_path / "e"), PATH)
     assert token_files.read_token_files(spark, str(tmp_path / "e")).collect() == []
+
+
+def test_files_of_one_doc_id(spark, tmp_path):
+    """Rows that share a doc_id fill several shards; starts still follow one another."""
+    df = spark.createDataFrame([(k if k % 3 else 5, f"word {k} " * (k % 7)) for k in range(600)], "doc_id long, text string").repartition(4)
+    token_files.write_token_files(df, str(tmp_path / "t"), PATH)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_token_files(spark, str(tmp_path / "t")).collect())
+    assert [d for _, d, _ in got] == sorted(k if k % 3 else 5 for k in range(600))
+    assert all(a + n == b for (a, _, n), (b, _, _) in zip(got, got[1:], strict=False))
+    blocks = spark.read.parquet(str(tmp_path / "t/blocks")).select("shard", "doc_ids").collect()
+    assert len({r.shard for r in blocks if (5).to_bytes(8, "little") in bytes(r.doc_ids)}) > 1
