@@ -348,11 +348,12 @@ def _links(spark: SparkSession, work: Workspace, texts: DataFrame, nodes: DataFr
     index = work.write(texts.mapInArrow(tidy(_index_pieces(width, buckets, table, num, den)), "bucket int, keys binary, sids binary"), "index")
     singles = work.write(index.where("bucket >= 0").groupBy("bucket").applyInArrow(_tidy_group(_index_merge), "key long, a long, b long"), "singles")
     combos = work.write(index.where("bucket < 0").select("keys", "sids").mapInArrow(_unpack, "key long, sid long").distinct(), "combos")
+    work.drop("index")
     shared = work.write(combos.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     to_node = nodes.select("sid", "node", "n")
     members = join_groups(combos, shared, ["key"], "c", "left_semi").select("key", "sid").union(singles.where("key <> 0").select("key", F.col("a").alias("sid")))
     members = work.write(members.join(to_node, "sid").select("key", "node", "n"), "members")
-    work.drop("index"), work.drop("combos"), work.drop("shared")
+    work.drop("combos"), work.drop("shared")
 
     # an entry that many sets share meets its hub by a broadcast
     hub = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"), F.count("*").alias("c")).select("key", F.col("h.node").alias("a"), F.col("h.n").alias("na"), "c")
