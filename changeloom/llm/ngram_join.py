@@ -8,7 +8,10 @@ holds single rare tokens and 2-combinations of frequent tokens of one class. c g
 so that combinations stay in proportion to the text; as both sets need the same c, each set is
 indexed for its own size level and the next (levels are a factor 1/t wide).
 
-Candidates are verified on whole sets. Index entries with few sets give all their pairs; for one
+Candidates are first held against each other by parity bitmaps of their sets, 1 to 2 bits a token:
+two sets differ in at least as many tokens as their bitmaps in bits. That bound drops no link, and
+nearly all pairs that only share common phrases, so that only sets of the others are written
+and moved whole. What is left is verified on whole sets. Index entries with few sets give all their pairs; for one
 with many sets, first each set is compared with one hub, and then only sets that are not yet in the
 main component of their cluster are compared with all of it, in blocks, as matrix products. Links
 are those of connectivity: no link between different components is lost, no group is expanded.
@@ -48,12 +51,37 @@ def _batches(it: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np
             yield doc, tokens, set_id(tokens)
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """A bitmap of a power of two of bits, 64 or as many as tokens at least; a bit is set if it has an odd number of them."""
+    if not len(tokens):
+        return b""
+    bits = 1 << max(6, (len(tokens) - 1).bit_length())
+    held = np.bincount((tokens & _U(bits - 1)).view(np.int64), minlength=bits)
+    return np.packbits((held & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _fold(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """Rows of a bitmap's 64-bit words as the bitmaps of `words` words that the same sets have."""
+    while bitmaps.shape[1] > words:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] ^ bitmaps[:, half:]
+    return bitmaps
+
+
+def may_link(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of sizes a and b can have Jaccard similarity num / den, by their bitmaps (rows x and y, one of them may be a single row)."""
+    words = min(x.shape[1], y.shape[1])
+    apart = np.bitwise_count(_fold(x, words) ^ _fold(y, words)).sum(1, dtype=np.int64)
+    both = np.minimum((a + b - apart) // 2, np.minimum(a, b))
+    return den * both >= num * (a + b - both)
+
+
 def _sizes(width: int):
     def run(it):
         for batch in it:
             data, offs = arrow_texts(batch.column("text"))
-            sets = list((len(s), set_id(s)) for s in shingle_sets(data, offs, width))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.int64())], ["doc_id", "n", "sid"])
+            sets = list((len(s), set_id(s), parity_bits(s)) for s in shingle_sets(data, offs, width))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([s[k] for s in sets], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "n", "sid", "bits"])
 
     return run
 
@@ -239,6 +267,56 @@ def _sets(width: int):
     return run
 
 
+def _by_width(blobs) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Bitmaps of one width in a matrix, with their positions."""
+    rows = [np.frombuffer(b.as_buffer(), np.uint64) for b in blobs]
+    width = np.array([len(r) for r in rows], np.int64)
+    return {int(w): ((at := np.flatnonzero(width == w)), np.stack([rows[i] for i in at])) for w in np.unique(width)}
+
+
+def _candidates(num: int, den: int):
+    """Pairs that their bitmaps do not rule out."""
+
+    def run(it):
+        for batch in it:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            keep = np.zeros(len(na), bool)
+            xs, ys = _by_width(batch.column("x")), _by_width(batch.column("y"))
+            for at, x in xs.values():
+                for to, y in ys.values():
+                    both, i, j = np.intersect1d(at, to, assume_unique=True, return_indices=True)
+                    if len(both):
+                        keep[both] = may_link(na[both], x[i], nb[both], y[j], num, den)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def _candidates_of_blocks(num: int, den: int):
+    """Of two blocks' sets those that may link with one of the other block in another component."""
+    names = ["cluster", "i", "j", "left", "node", "component"]
+
+    def run(table: pa.Table) -> pa.Table:
+        left = np.array(table.column("left").to_pylist(), bool)
+        n, comp = table.column("n").to_numpy(), table.column("component").to_numpy()
+        keep = np.zeros(len(left), bool)
+        widths = _by_width(table.column("bits"))
+        for wx, (at, x) in widths.items():
+            for wy in (wx // 2, wx, wx * 2):  # sets that link differ in size by less than a factor of 2
+                if wy not in widths:
+                    continue
+                to, y = widths[wy]
+                to, y = to[~left[to]], _fold(y[~left[to]], wx)
+                for i, row in zip(at[left[at]], _fold(x, min(wx, wy))[left[at]], strict=True):
+                    found = to[may_link(n[i], row[None], n[to], y, num, den) & (comp[to] != comp[i])]
+                    keep[found] = True
+                    keep[i] |= len(found) > 0
+        return table.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verify(num: int, den: int):
     def run(it):
         for batch in it:
@@ -310,11 +388,11 @@ def ngram_components(docs: DataFrame, width: int = 5, numerator: int = 4, denomi
     work = Workspace(spark, "ngram-join")
     texts = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    sizes = work.write(texts.mapInArrow(tidy(_sizes(width)), "doc_id long, n long, sid long"), "sizes")
+    sizes = work.write(texts.mapInArrow(tidy(_sizes(width)), "doc_id long, n long, sid long, bits binary"), "sizes")
     # a set's node is the least doc_id that has it
     nodes = work.write(sizes.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    links = _links(spark, work, texts, nodes, total, width, numerator, denominator)
+    links = _links(spark, work, texts, sizes, nodes, total, width, numerator, denominator)
     parts = connected_components(links, work, "parts")
     found = nodes.join(parts, "node", "left").select("sid", F.coalesce("component", "node").alias("component_id"))
     return sizes.join(found, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -341,8 +419,16 @@ def order_table(spark: SparkSession, work: Workspace, texts: DataFrame, total: i
     return table
 
 
-def _links(spark: SparkSession, work: Workspace, texts: DataFrame, nodes: DataFrame, total: int, width: int, num: int, den: int) -> DataFrame:
+def _links(spark: SparkSession, work: Workspace, texts: DataFrame, sizes: DataFrame, nodes: DataFrame, total: int, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between nodes that connect every component."""
+
+    def whole_sets(wanted: DataFrame, name: str) -> DataFrame:
+        wanted = broadcast_if_small(work.write(wanted.distinct(), f"{name}-nodes"))
+        some = texts.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
+        return work.write(some.mapInArrow(tidy(_sets(width)), "node long, tokens binary"), name)
+
+    # as whole sets, a row for each row of texts that has the node's doc_id
+    bitmaps = sizes.where("n > 3").select(F.col("doc_id").alias("node"), "n", "bits")
     table = spark.sparkContext.broadcast(order_table(spark, work, texts, total, width))
     buckets = _power_of_two(total * 0.3 / BUCKET_TOKENS)
     index = work.write(texts.mapInArrow(tidy(_index_pieces(width, buckets, table, num, den)), "bucket int, keys binary, sids binary"), "index")
@@ -363,32 +449,41 @@ def _links(spark: SparkSession, work: Workspace, texts: DataFrame, nodes: DataFr
     few = few.select(F.least("dx", "dy").alias("a"), F.greatest("dx", "dy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"))
     fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     pairs = work.write(near.union(few).where(fits).select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
-    sets = texts.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
-    sets = work.write(sets.mapInArrow(tidy(_sets(width)), "node long, tokens binary"), "sets")
-    first = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    work.drop("singles"), work.drop("hubs")
+    held = pairs.join(bitmaps.toDF("a", "na", "x"), "a").join(bitmaps.toDF("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y")
+    likely = work.write(held.mapInArrow(tidy(_candidates(num, den)), "a long, b long").distinct(), "likely")
+    work.drop("pairs")
+    sets = whole_sets(likely.select(F.col("a").alias("node")).union(likely.select("b")), "sets")
+    first = likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     links = work.write(first.mapInArrow(tidy(_verify(num, den)), "a long, b long"), "links")
+    work.drop("sets"), work.drop("likely")
 
     # entries whose sets are still in several components: their clusters, compared in blocks
     parts = connected_components(links, work, "first")
     placed = members.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("b"), F.max("component").alias("hi"), F.count("*").alias("c")).where("b < hi").select("key", "b", "c")
     placed = work.write(join_groups(placed, work.write(open_, "open"), ["key"], "c").select("key", "node", "component", "b"), "placed")
+    work.drop("members"), work.drop("open")
     if placed.isEmpty():
         return links
     star = placed.select(F.col("component").alias("a"), "b")
     clusters = connected_components(star, work, "clusters").toDF("component", "cluster")
     # all sets of the components that meet in an open entry, as far as they are in open entries
     open_nodes = placed.select("node", "component").distinct().join(clusters, "component")
-    sizes = open_nodes.groupBy("cluster", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all"))
+    counted = open_nodes.groupBy("cluster", "component").agg(F.count("*").alias("c"))
+    main = counted.groupBy("cluster").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all"))
     shape = main.select("cluster", F.col("m.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rights"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).cast("int").alias("lefts"))
     every = open_nodes.join(shape, "cluster")
     left = every.where("component <> main").select("cluster", F.lit(True).alias("left"), "node", "component", F.pmod(F.xxhash64("node"), F.col("lefts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
     right = every.select("cluster", F.lit(False).alias("left"), "node", "component", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("rights")).cast("int").alias("j"))
-    dealt = left.select(*right.columns).union(right).join(sets, "node")
-    more = dealt.groupBy("cluster", "i", "j").applyInArrow(_tidy_group(_compare_blocks(num, den)), "a long, b long")
-    return work.write(links.union(more.distinct()), "all-links")
+    dealt = left.select(*right.columns).union(right).join(bitmaps, "node")
+    kind = "cluster long, i int, j int, left boolean, node long, component long"
+    likely = work.write(dealt.groupBy("cluster", "i", "j").applyInArrow(_tidy_group(_candidates_of_blocks(num, den)), kind).distinct(), "likely-blocks")
+    sets = whole_sets(likely.select("node"), "block-sets")
+    more = likely.join(sets, "node").groupBy("cluster", "i", "j").applyInArrow(_tidy_group(_compare_blocks(num, den)), "a long, b long")
+    links = work.write(links.union(more.distinct()), "all-links")
+    work.drop("block-sets")
+    return links
 
 
 def near_duplicate_filter(docs: DataFrame, width: int = 5, numerator: int = 4, denominator: int = 5) -> DataFrame:

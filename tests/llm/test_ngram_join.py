@@ -121,3 +121,54 @@ def test_every_token_is_counted(spark):
         if len(s) >= 4:
             singles, _ = ngram_join._index_keys(np.array(s, np.uint64), tokens, classes, 4, 5)
             assert not np.isin(singles, often).any()
+
+
+def test_bitmaps_rule_out_no_link():
+    """Bounds by bitmaps of one and of two widths, against true similarities."""
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    row = lambda s: np.frombuffer(ngram_join.parity_bits(s), np.uint64)[None]
+    kept = linked = apart = 0
+    for size in (4, 40, 64, 70, 130, 1000, 1100, 5000):
+        for share in (1.0, 0.95, 0.9, 0.89, 0.85, 0.5, 0.0):
+            for less in (1.0, 0.9, 0.8):
+                tokens = rnd.integers(0, 1 << 64, 2 * size, dtype=np.uint64)
+                a, both = tokens[:size], int(size * min(share, less))
+                b = np.concatenate([a[:both], tokens[size : size + max(1, int(size * less)) - both]])
+                links = 5 * both >= 4 * (len(a) + len(b) - both)
+                for x, y in ((a, b), (b, a)):
+                    may = ngram_join.may_link(np.array([len(x)]), row(x), np.array([len(y)]), row(y), 4, 5)[0]
+                    assert may or not links
+                    kept += may and not links
+                    linked += links
+                    apart += share <= 0.5 and size >= 64
+                    assert not (may and share <= 0.5 and size >= 64)
+    assert linked > 50 and apart > 50 and kept > 0
+
+
+def test_only_likely_sets_are_written_whole(spark, monkeypatch):
+    """Sets that share index entries but are not alike are compared by their bitmaps."""
+    rnd = random.Random(4)
+    common = [[f"c{k}w{i}" for i in range(30)] for k in range(20)]
+    rows = []
+    for k in range(120):
+        words = [f"group{k // 6}x{i}" for i in range(12)]
+        for passage in rnd.sample(common, 3):
+            words += passage
+        rows.append((k, " ".join(words)))
+    rows += [(200, rows[7][1] + " more"), (201, rows[50][1] + " words")]
+    want, written = components(rows), {}
+    assert len(set(c for _, c in want.values())) > 110
+    write = storage.Workspace.write
+
+    def counting(self, df, name, *more):
+        out = write(self, df, name, *more)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(storage.Workspace, "write", counting)
+    assert result(spark, rows) == want
+    assert written["pairs"] > 200
+    in_links = [d for d, (_, c) in want.items() if sum(c == o for _, o in want.values()) > 1]
+    assert len(in_links) <= written["sets"] + written.get("block-sets", 0) <= 2 * len(in_links) + 4
