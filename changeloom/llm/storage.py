@@ -92,6 +92,18 @@ def tidy(run: Callable) -> Callable:
     return go
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside it drop their shuffle files as they end; else these stay until the driver happens to collect its garbage, which larger inputs do not make more frequent."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 _collectors: list[list[Workspace]] = []
 
 
@@ -124,7 +136,8 @@ class Workspace:
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str | None = None) -> None:

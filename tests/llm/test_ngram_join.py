@@ -172,3 +172,28 @@ def test_only_likely_sets_are_written_whole(spark, monkeypatch):
     assert written["pairs"] > 200
     in_links = [d for d, (_, c) in want.items() if sum(c == o for _, o in want.values()) > 1]
     assert len(in_links) <= written["sets"] + written.get("block-sets", 0) <= 2 * len(in_links) + 4
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    """What a step shuffles is no longer on disk when the next ones run."""
+    import re
+    import time
+
+    from pyspark.sql import functions as F
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", found))
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(key)
+    rows = spark.range(20_000).withColumn("k", F.col("id") % 1000)
+    work = storage.Workspace(spark, "shuffles")
+    got = work.write(rows.groupBy("k").agg(F.collect_list("id").alias("ids")), "lists")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert got.count() == 1000 and spark.conf.get(key) == setting
+    work.drop()
