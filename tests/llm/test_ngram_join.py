@@ -1,5 +1,6 @@
 import random
 
+from changeloom.llm import components as parts
 from changeloom.llm import ngram_join, storage
 from helpers import components
 
@@ -197,3 +198,40 @@ def test_shuffle_files_go_with_their_step(spark):
     assert not files() - before
     assert got.count() == 1000 and spark.conf.get(key) == setting
     work.drop()
+
+
+def test_few_edges_take_few_jobs(spark, monkeypatch):
+    """Both ways give the least node reachable, and few edges do not take the driver's memory for many stages."""
+    rnd = random.Random(5)
+    edges = [(k + 1, k) for k in range(100, 140)] + [(-7, k) for k in range(200, 260)] + [(500, 500), (1 << 40, -(1 << 40))]
+    edges += [(rnd.randrange(1000, 1400), rnd.randrange(1000, 1400)) for _ in range(180)]
+    rnd.shuffle(edges)
+    least = {n: n for e in edges if e[0] != e[1] for n in e}
+    while any(least[a] != least[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    work, context = storage.Workspace(spark, "edges"), spark.sparkContext
+    written = work.write(spark.createDataFrame(edges * 2, "a long, b long").repartition(5), "edges")
+    none = work.write(written.where("a is null"), "none")
+    tracker, jobs = context.statusTracker(), {}
+    for way in ("one task", "steps"):
+        if way == "steps":
+            monkeypatch.setattr(parts, "ONE_TASK_EDGES", 3)
+        context.setJobGroup(way, way)
+        got = parts.connected_components(written, work, way.split()[0]).collect()
+        jobs[way] = len(tracker.getJobIdsForGroup(way))
+        context.setJobGroup("rest", "rest")
+        assert len(got) == len(least) and {r.node: r.component for r in got} == least
+        assert parts.connected_components(none, work, f"{way.split()[0]}-none").count() == 0
+        assert jobs["one task"] <= 6
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs["steps"] > 6
+    work.drop()
+
+
+def test_components_by_steps(spark, monkeypatch):
+    """Whole joins where the edges are too many for one task."""
+    monkeypatch.setattr(parts, "ONE_TASK_EDGES", 3)
+    rows = near_copies(13, ((80, 40), (60, 30)), 10)
+    assert result(spark, rows) == components(rows)
