@@ -13,7 +13,8 @@ two sets differ in at least as many tokens as their bitmaps in bits. That bound
 nearly all pairs that only share common phrases, so that only sets of the others are written
 and moved whole. What is left is verified on whole sets. Index entries with few sets give all their pairs; for one
 with many sets, first each set is compared with one hub, and then only sets that are not yet in the
-main component of their cluster are compared with all of it, in blocks, as matrix products. Links
+main component of their cluster are compared with all of it, in blocks, as matrix products. Where entries
+that hang together by chance make a cluster large, each of them is compared by itself instead. Links
 are those of connectivity: no link between different components is lost, no group is expanded.
 
 Counts: token frequencies are taken over all documents. The broadcast order table holds the most
@@ -38,6 +39,7 @@ TABLE_TOKENS = 1 << 20
 FREQUENT = 16  #: from so many sets on a token is indexed in combinations
 FEW = 16  #: an index entry of so many sets gives all its pairs
 BLOCK = 256  #: sets in a block of the last comparison
+DEALT_ROWS = 1 << 14  #: so many sets of units of one block go to one group
 BUCKET_TOKENS = 1 << 20
 _U = np.uint64
 _CLASS_F = FREQUENT.bit_length()
@@ -294,14 +296,12 @@ def _candidates(num: int, den: int):
 
 
 def _candidates_of_blocks(num: int, den: int):
-    """Of two blocks' sets those that may link with one of the other block in another component."""
+    """Of two blocks' sets those that may link with one of the other block in another component; a table may hold several pairs of blocks."""
     names = ["cluster", "i", "j", "left", "node", "component"]
 
-    def run(table: pa.Table) -> pa.Table:
-        left = np.array(table.column("left").to_pylist(), bool)
-        n, comp = table.column("n").to_numpy(), table.column("component").to_numpy()
+    def likely(left: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: pa.ChunkedArray) -> np.ndarray:
         keep = np.zeros(len(left), bool)
-        widths = _by_width(table.column("bits"))
+        widths = _by_width(bits)
         for wx, (at, x) in widths.items():
             for wy in (wx // 2, wx, wx * 2):  # sets that link differ in size by less than a factor of 2
                 if wy not in widths:
@@ -312,7 +312,16 @@ def _candidates_of_blocks(num: int, den: int):
                     found = to[may_link(n[i], row[None], n[to], y, num, den) & (comp[to] != comp[i])]
                     keep[found] = True
                     keep[i] |= len(found) > 0
-        return table.select(names).filter(pa.array(keep, pa.bool_()))
+        return keep
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("cluster", "i", "j")])
+        left = table.column("left").to_numpy()
+        n, comp, *unit = (table.column(c).to_numpy() for c in ("n", "component", "cluster", "i", "j"))
+        new = np.any([u[1:] != u[:-1] for u in unit], axis=0)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(left)]
+        keep = [likely(left[x:y], n[x:y], comp[x:y], table.column("bits").slice(x, y - x)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return table.select(names).filter(pa.array(np.concatenate(keep), pa.bool_()))
 
     return run
 
@@ -403,13 +412,14 @@ def order_table(spark: SparkSession, work: Workspace, texts: DataFrame, total: i
     buckets = _power_of_two(total / BUCKET_TOKENS)
     pieces = texts.mapInArrow(tidy(_count_pieces(width, buckets)), "bucket int, tokens binary, counts binary, wide boolean")
     often = work.write(pieces.groupBy("bucket").applyInArrow(_tidy_group(_count_merge), "token long, df long"), "often")
-    by_df = often.groupBy(F.ceil(F.log2(F.col("df"))).cast("int").alias("k")).agg(F.count("*").alias("c")).collect()  # at most 63 rows
-    room, least = TABLE_TOKENS, 64
+    rank = F.ceil(8 * F.log2(F.col("df"))).cast("int")
+    by_df = often.groupBy(rank.alias("k")).agg(F.count("*").alias("c")).collect()  # at most 504 rows
+    room, least = TABLE_TOKENS, 505
     for k, c in sorted(((r["k"], r["c"]) for r in by_df), reverse=True):
         if c > room:
             break
         room, least = room - c, k
-    got = often.where(F.ceil(F.log2(F.col("df"))) >= least).toArrow()  # at most TABLE_TOKENS rows
+    got = often.where(rank >= least).toArrow()  # at most TABLE_TOKENS rows
     tokens, df = got.column("token").to_numpy().view(np.uint64), got.column("df").to_numpy()
     by = np.argsort(tokens)
     work.drop("often")
@@ -461,24 +471,43 @@ def _links(spark: SparkSession, work: Workspace, texts: DataFrame, sizes: DataFr
     # entries whose sets are still in several components: their clusters, compared in blocks
     parts = connected_components(links, work, "first")
     placed = members.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("b"), F.max("component").alias("hi"), F.count("*").alias("c")).where("b < hi").select("key", "b", "c")
+    open_ = placed.groupBy("key").agg(F.min("component").alias("b"), F.max("component").alias("hi"), F.count("*").alias("c")).where("b < hi and c > 2").select("key", "b", "c")  # of two sets one is the hub
     placed = work.write(join_groups(placed, work.write(open_, "open"), ["key"], "c").select("key", "node", "component", "b"), "placed")
     work.drop("members"), work.drop("open")
     if placed.isEmpty():
         return links
+    # of entries with the same sets, one
+    marks = (F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (0, 1))
+    alike = placed.groupBy("key").agg(F.count("*").alias("c"), F.first("b").alias("b"), *marks)
+    kinds = alike.groupBy("c", "x0", "x1").agg(F.min(F.struct("key", "b")).alias("k")).select("k.key", "k.b", "c")
+    kinds = work.write(kinds, "kinds")
+    placed = work.write(join_groups(placed, kinds.select("key", "c"), ["key"], "c", "left_semi"), "placed-once")
+    work.drop("placed")
     star = placed.select(F.col("component").alias("a"), "b")
-    clusters = connected_components(star, work, "clusters").toDF("component", "cluster")
+    clusters = broadcast_if_small(connected_components(star, work, "clusters").toDF("component", "cluster"))
     # all sets of the components that meet in an open entry, as far as they are in open entries
-    open_nodes = placed.select("node", "component").distinct().join(clusters, "component")
-    counted = open_nodes.groupBy("cluster", "component").agg(F.count("*").alias("c"))
-    main = counted.groupBy("cluster").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all"))
-    shape = main.select("cluster", F.col("m.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rights"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).cast("int").alias("lefts"))
-    every = open_nodes.join(shape, "cluster")
-    left = every.where("component <> main").select("cluster", F.lit(True).alias("left"), "node", "component", F.pmod(F.xxhash64("node"), F.col("lefts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
-    right = every.select("cluster", F.lit(False).alias("left"), "node", "component", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("rights")).cast("int").alias("j"))
-    dealt = left.select(*right.columns).union(right).join(bitmaps, "node")
+    open_nodes = work.write(placed.select("node", "component").distinct().join(clusters, "component").select("cluster", "node", "component"), "open-nodes")
+    # entries that meet by chance make large clusters, which then take far more comparisons than the entries one by one
+    whole = work.write(_shapes(open_nodes), "cluster-shapes")
+    single = _shapes(placed.select(F.col("key").alias("cluster"), "node", "component")).withColumnRenamed("cluster", "key")
+    single = single.join(kinds.select("key", F.col("b").alias("component")), "key").join(clusters, "component").drop("component")
+    single = work.write(single, "entry-shapes")
+    cost = F.col("all").cast("double") * F.col("rest")
+    apart = single.groupBy("cluster").agg(F.sum(cost).alias("apart")).join(whole, "cluster").where(F.col("apart") < cost).select("cluster")
+    apart = broadcast_if_small(work.write(apart, "apart"))
+    units = single.join(apart, "cluster", "left_semi").drop("cluster").withColumnRenamed("key", "cluster")
+    units = work.write(units.unionByName(whole.join(apart, "cluster", "left_anti")), "units")
+    rows = open_nodes.join(apart, "cluster", "left_anti").unionByName(placed.select(F.col("key").alias("cluster"), "node", "component"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    every = join_groups(rows, units.select("cluster", "all", "main", blocks("all").alias("rights"), blocks("rest").alias("lefts")), ["cluster"], "all")
+    # units of one block share a group with others
+    groups = max(1, (units.where(F.col("all") <= BLOCK).agg(F.sum("all")).first()[0] or 0) // DEALT_ROWS)
+    deal = F.when(F.col("rights") == 1, F.pmod(F.xxhash64("cluster"), F.lit(groups))).otherwise(F.xxhash64("cluster", "i", "j"))
+    left = every.where("component <> main").select("cluster", F.lit(True).alias("left"), "node", "component", F.pmod(F.xxhash64("node"), F.col("lefts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), "rights")
+    right = every.select("cluster", F.lit(False).alias("left"), "node", "component", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("rights")).cast("int").alias("j"), "rights")
+    dealt = left.select(*right.columns).union(right).withColumn("deal", deal).drop("rights").join(bitmaps, "node")
     kind = "cluster long, i int, j int, left boolean, node long, component long"
-    likely = work.write(dealt.groupBy("cluster", "i", "j").applyInArrow(_tidy_group(_candidates_of_blocks(num, den)), kind).distinct(), "likely-blocks")
+    likely = work.write(dealt.groupBy("deal").applyInArrow(_tidy_group(_candidates_of_blocks(num, den)), kind).distinct(), "likely-blocks")
     sets = whole_sets(likely.select("node"), "block-sets")
     more = likely.join(sets, "node").groupBy("cluster", "i", "j").applyInArrow(_tidy_group(_compare_blocks(num, den)), "a long, b long")
     links = work.write(links.union(more.distinct()), "all-links")
@@ -486,6 +515,12 @@ def _links(spark: SparkSession, work: Workspace, texts: DataFrame, sizes: DataFr
     return links
 
 
+def _shapes(rows: DataFrame) -> DataFrame:
+    """(cluster, node, component) -> of each cluster its largest component, the number of its sets, and of those outside that component."""
+    main = rows.groupBy("cluster", "component").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all"))
+    return main.select("cluster", F.col("m.component").alias("main"), "all", (F.col("all") - F.col("m.c")).alias("rest"))
+
+
 def near_duplicate_filter(docs: DataFrame, width: int = 5, numerator: int = 4, denominator: int = 5) -> DataFrame:
     """docs without all but one document (the least doc_id) of each component; all columns are kept. Rows without doc_id stay."""
     gone = ngram_components(docs, width, numerator, denominator).where("doc_id > component_id").select(F.col("doc_id").alias("__gone"))

@@ -235,3 +235,26 @@ def test_components_by_steps(spark, monkeypatch):
     monkeypatch.setattr(parts, "ONE_TASK_EDGES", 3)
     rows = near_copies(13, ((80, 40), (60, 30)), 10)
     assert result(spark, rows) == components(rows)
+
+
+def test_chance_entries_do_not_make_a_large_cluster(spark, monkeypatch):
+    """Entries that hang together through texts of several common passages are compared one by one, not each text with all."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rnd = random.Random(9)
+    passages = [[f"p{k}w{i}" for i in range(30)] for k in range(120)]
+    rows = [(k, " ".join(w for p in rnd.sample(passages, 4) for w in p)) for k in range(600)]
+    rows += [(700 + k, rows[k * 50][1] + " more words") for k in range(10)]
+    want, compared, make = components(rows), spark.sparkContext.accumulator(0), ngram_join._candidates_of_blocks
+
+    def counting(*similarity):
+        run = make(*similarity)
+
+        def go(table):
+            compared.add(table.num_rows)
+            return run(table)
+
+        return go
+
+    monkeypatch.setattr(ngram_join, "_candidates_of_blocks", counting)
+    assert result(spark, rows) == want
+    assert 0 < compared.value < 20 * len(rows)
