@@ -35,16 +35,13 @@ def _text(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _mapped(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
-    """rows(each row's values) yields tuples of the new columns."""
+    """rows(each row's values) yields tuples of the new columns, which leave a bounded number at a time."""
     names = [c.split()[0] for c in schema.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [r for row in frame.itertuples(index=False) for r in rows(*row)]
-            if found:
-                yield pd.DataFrame(found, columns=names)
+        yield from files.in_frames((r for frame in frames for row in frame.itertuples(index=False) for r in rows(*row)), names)
 
-    return df.mapInPandas(run, schema)
+    return files.bound_files(df).mapInPandas(run, schema)
 
 
 def _runs(spark, sf_dir) -> DataFrame:

@@ -8,7 +8,8 @@ everywhere else damage is an error.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,20 +21,41 @@ from . import codec
 _OPS = "array<struct<key: binary, value: binary, is_delete: boolean>>"
 
 
+#: So many rows leave a worker at a time.
+FRAME_ROWS = 10_000
+
+
+def in_frames(rows: Iterable[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of at most FRAME_ROWS rows each."""
+    rows = iter(rows)
+    while found := list(islice(rows, FRAME_ROWS)):
+        yield pd.DataFrame(found, columns=names)
+
+
+def bound_files(files: DataFrame) -> DataFrame:
+    """files (with a column `content`), in a session whose Arrow batches hold at most 4 MB, or one file: 10,000 files would be a batch else, whatever their size.
+
+    Plans run when the caller uses them, so the setting stays; a smaller one of the caller's is kept.
+    """
+    key, most, conf = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20, files.sparkSession.conf
+    now = conf.get(key, str(1 << 30))
+    if not (now.isdigit() and 0 < int(now) <= most):
+        conf.set(key, str(most))
+    return files
+
+
 def _decode(spark: SparkSession, folder: str, kind: str, rows, schema: str) -> DataFrame:
     """A row for each record of the files `kind`-NNNNNN of a folder; rows(file number, data) yields tuples."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for number, data in zip(frame["number"], frame["content"], strict=True):
-                found = list(rows(int(number), bytes(data)))
-                if found:
-                    yield pd.DataFrame(found, columns=names)
+                yield from in_frames(rows(int(number), bytes(data)), names)
 
     names = [c.strip().split(" ")[0].rstrip(":") for c in _columns(schema)]
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"{kind}-*").load(folder)
     files = files.select(number_of(F.col("path"), kind).alias("number"), "content").where("number is not null")
-    return files.mapInPandas(run, schema)
+    return bound_files(files).mapInPandas(run, schema)
 
 
 def _columns(schema: str) -> list[str]:
@@ -130,7 +152,7 @@ def write_files(files: DataFrame, folder: str) -> int:
                 system.move(temp, f"{root}/{name}")
             yield pd.DataFrame({"n": [len(frame)]})
 
-    return files.select("name", "content").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return bound_files(files).select("name", "content").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def segment_files(runs: DataFrame) -> DataFrame:
