@@ -40,6 +40,18 @@ def sparse_index(runs: DataFrame, every: int = 2) -> DataFrame:
     return rows.where((F.col("rn") - 1) % every == 0).select("segment_id", "key", "offset")
 
 
+def sparse_index_of_files(rows: DataFrame, every: int = 2) -> DataFrame:
+    """The same of one run that is cut into files with disjoint key ranges: (file, segment_id, before, start, key, value, is_delete), `before` and `start` the records and bytes of the run before the file.
+
+    A file is bounded by the size at which it is cut, so a window over one is bounded too.
+    """
+    w = Window.partitionBy("file").orderBy("key")
+    sized = rows.withColumn("size", record_size(F.col("key"), F.col("value"), F.col("is_delete")))
+    offset = F.col("start") + F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = sized.select("segment_id", "key", offset.cast("long").alias("offset"), (F.col("before") + F.row_number().over(w)).alias("rn"))
+    return numbered.where((F.col("rn") - 1) % every == 0).select("segment_id", "key", "offset")
+
+
 #: Up to so many runs are broadcast.
 BROADCAST_RUNS = 100_000
 

@@ -375,6 +375,22 @@ class Store:
         own = self.log(replace(version, files=tuple(f for f in version.files if f.segment_id == segment_id)))
         return run_ops.sparse_index(own.withColumn("segment_id", F.lit(segment_id).cast("long")), every)
 
+    def sparse_index_of_level(self, level: int, every: int = 16) -> DataFrame:
+        """(segment_id, key, offset) of every `every`-th record of a level's files, whose ranges are disjoint, taken as one file in key order: offsets and records are counted through. No task has more than one file's rows."""
+        version = self.current()
+        files = sorted((f for f in version.files if f.level == level), key=lambda f: f.min_key)
+        if any(a.max_key >= b.min_key for a, b in zip(files, files[1:], strict=False)):
+            raise ValueError(f"files of level {level} overlap; compact them first")
+        starts, before, start = [], 0, 0
+        for f in files:
+            starts.append((f.path.rsplit("/", 1)[-1], f.segment_id, before, start))
+            before, start = before + f.n_records, start + f.bytes
+        if not files:
+            return self.sparse_index(-1, every)
+        rows = self.spark.read.schema(SCHEMA).parquet(*(f"{self.folder.root}/{f.path}" for f in files)).withColumn("file", F.col("_metadata.file_name"))
+        begin = self.spark.createDataFrame(starts, "file string, segment_id long, before long, start long")  # a row per file
+        return run_ops.sparse_index_of_files(rows.join(F.broadcast(begin), "file"), every)
+
     def show(self, n: int = 20) -> None:
         """Prints the first versions of unflushed commits."""
         version = self.current()

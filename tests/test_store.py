@@ -284,6 +284,38 @@ def test_memtable_and_index(spark, root, capsys):
     assert s.next_segment_id() == 4
 
 
+def test_index_of_a_level_of_many_files(spark, root):
+    s = Store(spark, root, Options(flush_keys=None, flush_bytes=None, compaction=False, file_bytes=200))
+    assert s.sparse_index_of_level(0).collect() == []
+    pairs = [(f"key{i:03d}", None if i % 7 == 0 else "v" * (i % 11)) for i in range(60)]
+    s.write(rows(spark, pairs), parts=3)
+    s.flush()
+    assert len(s.current().files) > 3
+    offset, want = 0, []
+    for i, (k, v) in enumerate(pairs):
+        if i % 4 == 0:
+            want.append((k.encode(), offset))
+        offset += 12 + len(k) + (13 if v is None else len(v))
+    got = s.sparse_index_of_level(0, every=4)
+    assert [(bytes(r.key), r.offset) for r in got.orderBy("key").collect()] == want
+    assert {r.segment_id for r in got.collect()} <= {f.segment_id for f in s.current().files}
+    s.put(b"key030", b"again")
+    s.flush()
+    with pytest.raises(ValueError, match="overlap"):
+        s.sparse_index_of_level(0)
+
+
+def test_store_sparse_index_of_a_changelog_over_many_files(spark, tmp_path, monkeypatch):
+    import duckdb
+    from changeloom import catalog, catalog_store
+
+    monkeypatch.setattr(catalog_store, "STEPS", Options(flush_keys=None, flush_bytes=None, flush_files=None, compaction=False, file_bytes=500))
+    got = [(r.key, r.offset) for r in catalog.queries()["store_sparse_index"](spark, "/root/testdata/sf0.001").collect()]
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.001/events.parquet'")
+    assert sorted(got) == sorted(con.execute(catalog.oracle_sql()["store_sparse_index"]).fetchall())
+
+
 def test_visit_seek_clear(spark, root):
     s = Store(spark, root, QUIET)
     s.write(rows(spark, [(c, c.upper()) for c in "abcd"]))
